@@ -61,10 +61,9 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 turn = np.flatnonzero(np.diff(anchor, prepend=np.uint64(0)) != 0)  # neighbours mostly share their anchor
                 turn = turn[anchor[turn] != 0]
                 doc = np.searchsorted(first, turn, side="right") - 1
-                row = chunk.first + doc
-                own = batch.slice(0).take(pa.array(row))
+                row = pa.array(chunk.first + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[turn].view(np.int64)), own.column(0), own.column(1)], names=["anchor", "doc_id", "same"]
+                    [pa.array(anchor[turn].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["anchor", "doc_id", "same"]
                 )
 
     return docs.select("doc_id", "same", "text").mapInArrow(run, "anchor long, doc_id long, same long")
