@@ -1,9 +1,8 @@
 """Substring dedup (operator 3): seed and extend over winnowed anchors.
 
 1. Seeds. In each window of 13 words the five-word run with the least hash is its anchor
-   (winnowing), so equal windows have equal anchors wherever they stand. Anchors are
-   aggregated over the corpus before any rows meet; only those of two or more different
-   texts go on.
+   (winnowing), so equal windows have equal anchors wherever they stand. Documents meet on
+   their anchors, and only anchors of two or more different texts go on.
 2. Extension. A document gets its repeated anchors back and extends each of them both
    ways into all windows that have it as their anchor; these windows are matched across
    documents, and a window is a repeat if a smaller doc_id has it too.
@@ -11,9 +10,10 @@
    stretches, whose words are removed.
 
 Exact copies of a whole text are settled by their first document alone and take no part
-in the steps above. Windows of anchors that at most ``hot`` texts share are compared in
-one bounded group; for the others the least doc_id is aggregated before the shuffle and
-joined back, which Spark can split.
+in the steps above. What many documents share is settled in two steps: each chunk of
+texts sends one row for an anchor or a window and decides the rest by itself, so the rows
+that meet for one key are as many as the chunks, not the documents, and they are read as
+a sorted stream that holds one row. Each exchange is sorted, never grouped in memory.
 
 Null text has no words. Texts of fewer words than a window lose nothing. Very long texts
 are handled whole. Documents with equal ids never cover each other (a tie is no smaller
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textbytes import SPACE_WORDS, Chunk, chunks, covered, gram_hashes, runs_within, sliding, word_hashes, words
+from .textbytes import SPACE_WORDS, Chunk, chunks, gram_hashes, runs_within, sliding, word_hashes, words
 
 WINDOW, SEED = 13, 5
 
@@ -51,49 +51,154 @@ def _anchors(chunk: Chunk, window: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return w.first, anchor, gram_hashes(hashes, window)
 
 
+def _first_in_group(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, those that differ from the row before in one of the keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(anchor, doc_id, same): the distinct anchors of each document."""
+    """(anchor, same, settled): each text's distinct anchors.
+
+    Where several texts of a chunk share an anchor it is repeated in any case: one of them
+    stands for the anchor elsewhere, and the others are settled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(1)):
                 first, anchor, _ = _anchors(chunk, window, seed)
                 turn = np.flatnonzero(np.diff(anchor, prepend=np.uint64(0)) != 0)  # neighbours mostly share their anchor
                 turn = turn[anchor[turn] != 0]
-                doc = np.searchsorted(first, turn, side="right") - 1
-                row = pa.array(chunk.first + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[turn].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["anchor", "doc_id", "same"]
-                )
+                text = batch.column(0).slice(chunk.first, chunk.rows).to_numpy()[np.searchsorted(first, turn, side="right") - 1]
+                own = anchor[turn].view(np.int64)
+                order = np.lexsort((text, own))
+                own, text = own[order], text[order]
+                keep = _first_in_group(own, text)
+                own, text = own[keep], text[keep]
+                settled = ~_first_in_group(own)
+                settled_too = settled.copy()  # the first of several is sent, and known to be repeated
+                settled_too[:-1] |= settled[1:]
+                state = settled.astype(np.int8) + (settled_too & ~settled) * np.int8(2)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(text), pa.array(state)], names=["anchor", "same", "state"])
+
+    return docs.select("same", "text").mapInArrow(run, "anchor long, same long, state byte")
+
+
+def _repeated(seeds: DataFrame) -> DataFrame:
+    """(same, anchor) of the anchors that two or more texts have; a sorted stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))  # rows of the last anchor so far: two at most
+        for batch in batches:
+            anchor, same, state = (batch.column(i).to_numpy() for i in range(3))
+            done = state == 1
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(same[done]), pa.array(anchor[done])], names=["same", "anchor"])
+            # A row known to be repeated is told at once; it still stands for its anchor.
+            anchor, same, told = anchor[~done], same[~done], state[~done] == 2
+            if told.any():
+                yield pa.RecordBatch.from_arrays([pa.array(same[told]), pa.array(anchor[told])], names=["same", "anchor"])
+            anchor, same, told = (np.concatenate(x) for x in zip(held, (anchor, same, told), strict=True))
+            if not len(anchor):
+                continue
+            keep = _first_in_group(anchor, same)
+            start = np.flatnonzero(_first_in_group(anchor))
+            size = np.diff(np.append(start, len(anchor)))
+            least, most = same[start], same[start + size - 1]
+            repeated = np.repeat(least != most, size) & ~told & keep
+            if repeated.any():
+                yield pa.RecordBatch.from_arrays([pa.array(same[repeated]), pa.array(anchor[repeated])], names=["same", "anchor"])
+            last = slice(start[-1], None)
+            a, s, t = anchor[last], same[last], (told | repeated)[last]
+            if s[0] == s[-1]:
+                held = (a[:1], s[:1], t.any(keepdims=True))
+            else:
+                held = (a[[0, -1]], s[[0, -1]], np.ones(2, bool))
+
+    key = F.when(F.col("state") == 1, F.col("same")).otherwise(F.col("anchor"))
+    dealt = seeds.repartition(key).sortWithinPartitions("anchor", "same")
+    return dealt.mapInArrow(run, "same long, anchor long")
+
 
-    return docs.select("doc_id", "same", "text").mapInArrow(run, "anchor long, doc_id long, same long")
+_PLACE = np.int64((1 << 32) - 1)
 
 
 def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(window, doc_id, same, place, hot): all windows whose anchor is among the document's repeated ones."""
+    """(window, doc_id, place, run): all windows whose anchor is among the document's repeated ones.
+
+    ``place`` has the word in its lower half and above it 31 bits of the text's hash, which
+    tell texts apart that have one id. ``run`` is 0, or for what a smaller id of the chunk
+    settles the number of windows in a row that are repeats.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
                 first, anchor, hashes = _anchors(chunk, window, seed)
                 part = batch.slice(chunk.first, chunk.rows)
+                ids, same = part.column(0).to_numpy(), part.column(1).to_numpy()
+                places, rows = [], []
                 for i in range(chunk.rows):
                     own = anchor[first[i] : first[i + 1]]
-                    repeated = np.array(part.column(3)[i].values, dtype=np.int64).view(np.uint64)
+                    repeated = part.column(3)[i].values.to_numpy().view(np.uint64)
                     at = np.flatnonzero(np.isin(own, repeated) & (own != 0))
-                    if not len(at):
-                        continue
-                    hot = np.array(part.column(4)[i].values, dtype=np.int64).view(np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(hashes[first[i] + at].view(np.int64)), part.column(0).take(pa.array(np.full(len(at), i))),
-                            part.column(1).take(pa.array(np.full(len(at), i))), pa.array(at, pa.int32()), pa.array(np.isin(own[at], hot)),
-                        ],
-                        names=["window", "doc_id", "same", "place", "hot"],
-                    )
+                    places.append(at)
+                    rows.append(np.full(len(at), i))
+                place, row = np.concatenate(places), np.concatenate(rows)
+                own, doc = hashes[first[row] + place].view(np.int64), ids[row]
+                order = np.lexsort((doc, own))
+                start = np.flatnonzero(_first_in_group(own[order]))
+                least = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
+                settled = np.zeros(len(order), dtype=bool)
+                settled[order] = doc[order] > least
+                tag = (same[row] & np.int64(0x7FFFFFFF)) << np.int64(32)
+                packed = tag | place
+                # Rows still stand in the order of documents and words here, so runs are neighbours.
+                repeats = np.flatnonzero(settled)
+                fresh = np.ones(len(repeats), dtype=bool)
+                fresh[1:] = (row[repeats][1:] != row[repeats][:-1]) | (place[repeats][1:] != place[repeats][:-1] + 1)
+                begin = np.flatnonzero(fresh)
+                length = np.diff(np.append(begin, len(repeats)))
+                told = repeats[begin]
+                sent = ~settled
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own[sent], doc[told]])), pa.array(np.concatenate([doc[sent], doc[told]])),
+                        pa.array(np.concatenate([packed[sent], packed[told]])),
+                        pa.array(np.concatenate([np.zeros(sent.sum(), np.int32), length.astype(np.int32)])),
+                    ],
+                    names=["window", "doc_id", "place", "run"],
+                )
+
+    return docs.select("doc_id", "same", "text", "anchors").mapInArrow(run, "window long, doc_id long, place long, run int")
+
+
+def _covered(windows: DataFrame) -> DataFrame:
+    """(doc_id, place, run) of the windows that a smaller id has too; a sorted stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least_of_last = None, 0
+        for batch in batches:
+            own, doc, place, length = (batch.column(i).to_numpy() for i in range(4))
+            hit = length > 0
+            open_ = np.flatnonzero(~hit)
+            if len(open_):
+                w, d = own[open_], doc[open_]
+                start = np.flatnonzero(_first_in_group(w))
+                least = d[start].copy()
+                if last is not None and w[0] == last:
+                    least[0] = least_of_last
+                hit[open_] = d > np.repeat(least, np.diff(np.append(start, len(w))))
+                last, least_of_last = w[-1], least[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[hit]), pa.array(place[hit]), pa.array(np.maximum(length[hit], 1))], names=["doc_id", "place", "run"]
+            )
 
-    columns = ["doc_id", "same", "text", "anchors", "hot_anchors"]
-    return docs.select(*columns).mapInArrow(run, "window long, doc_id long, same long, place int, hot boolean")
+    return windows.repartition("window").sortWithinPartitions("window", "doc_id").mapInArrow(run, "doc_id long, place long, run int")
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -104,19 +209,24 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 part = batch.slice(chunk.first, chunk.rows)
-                copies = part.column(3).to_pylist()
+                same, copies = part.column(1).to_pylist(), part.column(5).to_pylist()
                 rows = []
                 for i in range(chunk.rows):
                     own = chunk.text(i).split()
                     n = len(own)
-                    places = part.column(2)[i].values
+                    places = part.column(3)[i].values
                     if copies[i] and n >= window:
                         own = []
                     elif places is not None and len(places):
-                        gone = covered(np.array(places, dtype=np.int64), window, n)
-                        own = [own[j] for j in np.flatnonzero(~gone)]
+                        place, length = places.to_numpy(), part.column(4)[i].values.to_numpy()
+                        mine = (place >> np.int64(32)) == (same[i] & 0x7FFFFFFF)
+                        start, length = (place & _PLACE)[mine], length[mine]
+                        change = np.zeros(n + 1, dtype=np.int64)
+                        np.add.at(change, start, 1)
+                        np.add.at(change, start + length + window - 1, -1)
+                        own = [own[j] for j in np.flatnonzero(np.cumsum(change[:n]) == 0)]
                     rows.append((n, n - len(own), hashlib.sha256(b" ".join(own)).hexdigest()))
                 n_words, n_removed, digest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -124,12 +234,10 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return docs.select("doc_id", "text", "places", "is_copy").mapInArrow(run, _RESULT)
+    return docs.select("doc_id", "same", "text", "places", "runs", "is_copy").mapInArrow(run, _RESULT)
 
 
-def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, hot: int = 10_000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, removed words and a digest of the kept words of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("same", F.xxhash64("text"))
@@ -138,44 +246,23 @@ def substring_dedup(
     # The first document of each distinct text; texts count as equal by 96 bits of hash and their length.
     text_key = ["same", F.hash("text").alias("same_32"), F.length("text").alias("same_length")]
     firsts = known.select("doc_id", *text_key).groupBy("same", "same_32", "same_length").agg(F.min("doc_id").alias("doc_id"))
-    firsts = firsts.select("doc_id", "same")
-
-    seeds = _seeds(known, window, seed)
-    repeated = (
-        seeds.groupBy("anchor")
-        .agg(F.min("same").alias("least"), F.max("same").alias("most"), F.count("*").alias("n"))
-        .where(F.col("least") != F.col("most"))
-        .select("anchor", (F.col("n") > hot).alias("is_hot"))
-    )
-    back = (
-        seeds.join(repeated, "anchor")
-        .groupBy("doc_id", "same")
-        .agg(
-            F.collect_set("anchor").alias("anchors"),
-            F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot_anchors"),
-        )
-        .join(firsts, ["doc_id", "same"], "left_semi")
-    )
-    windows = _extend(known.join(back, ["doc_id", "same"]), window, seed)
-    few = windows.where(~F.col("hot")).withColumn("first", F.min("doc_id").over(Window.partitionBy("window")))
-    many = windows.where("hot")
-    many = many.join(many.groupBy("window").agg(F.min("doc_id").alias("first")), "window")
-    repeats = (
-        few.select("doc_id", "same", "place", "first")
-        .unionByName(many.select("doc_id", "same", "place", "first"))
-        .where(F.col("first") < F.col("doc_id"))
-        .groupBy("doc_id", "same")
-        .agg(F.collect_set("place").alias("places"))
-    )
+    firsts = firsts.select("doc_id", F.col("same").alias("first_same"))
+
+    # All joins with the texts are on doc_id alone, so that one exchange of the texts serves them all;
+    # the comparison by exclusive or keeps the second column out of the join's keys.
+    anchors = _repeated(_seeds(known, window, seed)).groupBy(F.col("same").alias("first_same")).agg(F.collect_set("anchor").alias("anchors"))
+    seeded = known.join(anchors.join(firsts, "first_same"), "doc_id").where(F.col("same").bitwiseXOR(F.col("first_same")) == 0)
+    windows = _extend(seeded, window, seed)
+    repeats = _covered(windows).groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("run").alias("runs"))
     judged = (
-        known.join(repeats, ["doc_id", "same"], "left")
-        .join(firsts.withColumn("is_first", F.lit(True)), ["doc_id", "same"], "left")
-        .withColumn("is_copy", F.col("is_first").isNull())
-    )
-    without_id = rows.where(F.col("doc_id").isNull()).select(
-        "doc_id", "text", F.array().cast("array<int>").alias("places"), F.lit(False).alias("is_copy")
+        known.join(firsts.groupBy("doc_id").agg(F.collect_set("first_same").alias("first_of")), "doc_id", "left")
+        .join(repeats, "doc_id", "left")
+        .withColumn("is_copy", ~F.coalesce(F.array_contains("first_of", F.col("same")), F.lit(False)))
     )
-    return _remove(judged.select("doc_id", "text", "places", "is_copy").unionByName(without_id), window)
+    no_places = [F.array().cast("array<long>").alias("places"), F.array().cast("array<int>").alias("runs"), F.lit(False).alias("is_copy")]
+    columns = ["doc_id", "same", "text", "places", "runs", "is_copy"]
+    without_id = rows.where(F.col("doc_id").isNull()).select("doc_id", "same", "text", *no_places)
+    return _remove(judged.select(*columns).unionByName(without_id), window)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
