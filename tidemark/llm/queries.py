@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op10_licenses
 from .op01_secrets import op1_secret_scan
+from .op02_pii import op2_pii
 from .op03_substring import op3_substring_dedup
 from .op04_decontaminate import op4_decontaminate
 from .op05_quality import op5_line_quality
+from .op06_html import op6_html_text
 from .op07_token_ids import op7_token_ids
 from .op08_simhash import op8_simhash
 from .op09_packing import op9_best_fit_packing
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_pii,
         op3_substring_dedup,
         op4_decontaminate,
         op5_line_quality,
+        op6_html_text,
         op7_token_ids,
         op8_simhash,
         op9_best_fit_packing,
