@@ -474,11 +474,11 @@ def snk05_soft_delete_and_update(spark: SparkSession, sf: str) -> DataFrame:
     return store.keyed_update(rows, new, ["c_custkey"], "c_acctbal").select("c_custkey", "status", "c_acctbal")
 
 
-@query("SELECT n_name, r_name, count(*) AS n, round(avg(c_acctbal), 2) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+@query("SELECT n_name, r_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
 def join06_star(spark: SparkSession, sf: str) -> DataFrame:
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
     rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey, "left")
-    return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean"))
+    return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
 @query("WITH x AS (SELECT text, doc_id, source, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) AS nth FROM documents) SELECT doc_id, source FROM x WHERE nth = 1")

@@ -41,9 +41,9 @@ def json_feed_items(payloads: DataFrame, source: str = "source_id", body: str =
 
 def rss_items(payloads: DataFrame, source: str = "source_id", body: str = "body") -> DataFrame:
     """Entries of RSS 2.0 documents by XPath."""
-    n = F.xpath_int(F.col(body), F.lit("count(//item)"))
-    rows = payloads.select(source, body, F.explode(F.sequence(F.lit(1), n)).alias("k")).where(n > 0)
-    part = lambda name: F.expr(f"xpath_string({body}, concat('//item[', k, ']/{name}'))")
+    items = F.regexp_extract_all(F.col(body), F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))
+    rows = payloads.select(source, F.explode(items).alias("item"))
+    part = lambda name: F.xpath_string("item", F.lit(f"/item/{name}"))
     rows = rows.select(source, *(part(x).alias(x) for x in ("title", "link", "pubDate", "description", "author")))
     published = F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     return rows.select(source, "title", F.col("link").alias("url"), published.alias("published_at"), F.col("description").alias("summary"), "author")
