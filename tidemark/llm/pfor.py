@@ -69,6 +69,8 @@ class Segment:
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
+            if at + count * np.dtype(kind).itemsize > len(raw):
+                raise ValueError("a packed segment is cut short or too long")
             out = np.frombuffer(raw, dtype=kind, count=count, offset=at)
             at += out.nbytes
             return out
