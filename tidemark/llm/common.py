@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +51,17 @@ def written(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 
+def map_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches that stay small for long texts too: it lowers the session's settings
+    for Arrow batches where they are above ``BATCH_ROWS`` and ``BATCH_BYTES``."""
+    conf = frame.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return frame.mapInArrow(run, schema)
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

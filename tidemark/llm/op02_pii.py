@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256, spans_text, table
+from .common import map_arrow, sha256, spans_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -369,7 +369,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_model"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -401,7 +401,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_char
                     columns[size] = pa.array(lengths, columns[size].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

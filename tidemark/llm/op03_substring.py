@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textbytes import SPACE_WORDS, Chunk, chunks, gram_hashes, runs_within, sliding, word_hashes, words
+from .common import map_arrow, table
+from .textbytes import SHARD_BYTES, SPACE_WORDS, Chunk, chunks, gram_hashes, runs_within, sliding, word_hashes, words
 
 WINDOW, SEED = 13, 5
 
@@ -69,7 +69,7 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SHARD_BYTES):
                 first, anchor, _ = _anchors(chunk, window, seed)
                 turn = np.flatnonzero(np.diff(anchor, prepend=np.uint64(0)) != 0)  # neighbours mostly share their anchor
                 turn = turn[anchor[turn] != 0]
@@ -85,7 +85,7 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 state = settled.astype(np.int8) + (settled_too & ~settled) * np.int8(2)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(text), pa.array(state)], names=["anchor", "same", "state"])
 
-    return docs.select("same", "text").mapInArrow(run, "anchor long, same long, state byte")
+    return map_arrow(docs.select("same", "text"), run, "anchor long, same long, state byte")
 
 
 def _repeated(seeds: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _repeated(seeds: DataFrame) -> DataFrame:
 
     key = F.when(F.col("state") == 1, F.col("same")).otherwise(F.col("anchor"))
     dealt = seeds.repartition(key).sortWithinPartitions("anchor", "same")
-    return dealt.mapInArrow(run, "same long, anchor long")
+    return map_arrow(dealt, run, "same long, anchor long")
 
 
 _PLACE = np.int64((1 << 32) - 1)
@@ -137,7 +137,7 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), SHARD_BYTES):
                 first, anchor, hashes = _anchors(chunk, window, seed)
                 part = batch.slice(chunk.first, chunk.rows)
                 ids, same = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -174,7 +174,7 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     names=["window", "doc_id", "place", "run"],
                 )
 
-    return docs.select("doc_id", "same", "text", "anchors").mapInArrow(run, "window long, doc_id long, place long, run int")
+    return map_arrow(docs.select("doc_id", "same", "text", "anchors"), run, "window long, doc_id long, place long, run int")
 
 
 def _covered(windows: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _covered(windows: DataFrame) -> DataFrame:
                 [pa.array(doc[hit]), pa.array(place[hit]), pa.array(np.maximum(length[hit], 1))], names=["doc_id", "place", "run"]
             )
 
-    return windows.repartition("window").sortWithinPartitions("window", "doc_id").mapInArrow(run, "doc_id long, place long, run int")
+    return map_arrow(windows.repartition("window").sortWithinPartitions("window", "doc_id"), run, "doc_id long, place long, run int")
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -209,7 +209,7 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), SHARD_BYTES):
                 part = batch.slice(chunk.first, chunk.rows)
                 same, copies = part.column(1).to_pylist(), part.column(5).to_pylist()
                 rows = []
@@ -234,7 +234,7 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return docs.select("doc_id", "same", "text", "places", "runs", "is_copy").mapInArrow(run, _RESULT)
+    return map_arrow(docs.select("doc_id", "same", "text", "places", "runs", "is_copy"), run, _RESULT)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textbytes import ALNUM_WORDS, LOWER, Chunk, chunks, covered, per_document, word_hashes, words
+from .common import map_arrow, table
+from .textbytes import ALNUM_WORDS, LOWER, SHARD_BYTES, Chunk, chunks, covered, per_document, word_hashes, words
 
 WINDOW = 10
 
@@ -212,7 +212,7 @@ def contamination(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SHARD_BYTES):
                 named: list[list[str]] = [[] for _ in range(chunk.rows)]
                 hit = longest = None
                 for block in blocks:
@@ -231,7 +231,7 @@ def contamination(
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
@@ -242,14 +242,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(at)):
+            for chunk in chunks(batch.column(at), SHARD_BYTES):
                 clean = np.ones(chunk.rows, dtype=bool)
                 for block in blocks:
                     found = find(chunk, block.value, window)
                     clean &= per_document(found.hit, found.first) == 0
                 yield batch.slice(chunk.first, chunk.rows).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

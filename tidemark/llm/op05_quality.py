@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 from .textbytes import SPACE_WORDS, chunks, gram_hashes, mix64, per_document, runs_within, word_hashes, words
 
 _SYMBOLS = b"#*$%&|<>"
@@ -184,7 +184,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "d
             found = judge(batch.column(1), rules)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=["doc_id", *_KINDS])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str
         for batch in batches:
             yield batch.filter(judge(batch.column(at), rules).column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?][^>]*>", re.DOTALL
@@ -339,7 +339,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 )
 
     columns = [F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")]
-    return pages.select(*columns).mapInArrow(run, SCHEMA)
+    return map_arrow(pages.select(*columns), run, SCHEMA)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

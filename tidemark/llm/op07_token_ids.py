@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_arrow, table, written
 from .pfor import Segment, pack
 from .textbytes import chunks
 from .tokens import default_path, encoder
@@ -67,7 +67,7 @@ def encode(
                 segment += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS)
+    return map_arrow(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), run, SEGMENTS)
 
 
 _DOCS = "shard int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -92,7 +92,7 @@ def decode(segments: DataFrame) -> DataFrame:
                     names=["shard", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("shard", "segment", "doc_ids", "doc_counts", "payload").mapInArrow(run, _DOCS)
+    return map_arrow(segments.select("shard", "segment", "doc_ids", "doc_counts", "payload"), run, _DOCS)
 
 
 def starts(segments: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import cut, map_arrow, table, written
 from .components import connected_components
 from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, words
 
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 fp = majority_bits(*shingle_hashes(chunk))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 @cache
@@ -163,7 +163,7 @@ def fuzzy_keys(nodes: DataFrame) -> DataFrame:
                 key = (number << 35) | (parts[exact][row] << 12) | index
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64))], names=["key", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+    return map_arrow(nodes.select("fp"), run, "key long, fp long")
 
 
 def links(nodes: DataFrame, bits: int = 2, bucket: int = 32) -> DataFrame:

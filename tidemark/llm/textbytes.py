@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Of chunks that decide something by themselves (shards of a suffix array, rows settled before a shuffle).
+SHARD_BYTES = 1 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,7 +38,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(name)
     if have is None or have.size < n:
-        grown = np.full(max(n, 2 * CHUNK_BYTES), base, dtype=np.uint64)
+        grown = np.full(max(n, SHARD_BYTES + (1 << 17)), base, dtype=np.uint64)
         grown[0] = 1
         _POWERS[name] = have = np.multiply.accumulate(grown)
     return have[:n]
