@@ -239,7 +239,12 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, removed words and a digest of the kept words of each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Without an alias that changes nothing: the optimiser takes it out of one of the two exchanges of
+    # the texts below only (a union keeps its first side's), and then they aren't equal, nor reused.
+    doc_id = F.col(id_col)
+    if docs.select(doc_id).dtypes != [("doc_id", "bigint")]:
+        doc_id = doc_id.cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("same", F.xxhash64("text"))
     known = rows.where(F.col("doc_id").isNotNull())
 
