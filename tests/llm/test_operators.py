@@ -156,6 +156,14 @@ def test_substring_dedup(docs):
     assert rows_of(op03_substring.substring_dedup(docs)) == brute_substrings(texts())
 
 
+def test_substring_dedup_of_phrases_said_over_and_over(spark):
+    rows = [(i, f"{i} {i + 1} " * (i % 3) + phrase * n) for i, (phrase, n) in enumerate([("so it is ", 40), ("no ", 60), ("so it is ", 7), ("it is so ", 30), ("no ", 13), ("no ", 12), ("so it is no ", 50)] * 3)]
+    rows += [(2, "no " * 30), (2, "so it is " * 30), (0, None), (None, "no " * 40)]
+    for parts in (1, 5):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert rows_of(op03_substring.substring_dedup(frame)) == brute_substrings(rows)
+
+
 def test_decontamination(spark, docs):
     rows, window = texts(), 10
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -12,8 +12,10 @@
 Exact copies of a whole text are settled by their first document alone and take no part
 in the steps above. What many documents share is settled in two steps: each chunk of
 texts sends one row for an anchor or a window and decides the rest by itself, so the rows
-that meet for one key are as many as the chunks, not the documents, and they are read as
-a sorted stream that holds one row. Each exchange is sorted, never grouped in memory.
+that meet for one key are as many as the chunks, not the documents. A window that one
+document has many times (a word or phrase over and over) is sent once and stands for all
+its places there. Rows are read as a sorted stream that holds one row. Each exchange is
+sorted, never grouped in memory.
 
 Null text has no words. Texts of fewer words than a window lose nothing. Very long texts
 are handled whole. Documents with equal ids never cover each other (a tie is no smaller
@@ -125,6 +127,8 @@ def _repeated(seeds: DataFrame) -> DataFrame:
 
 
 _PLACE = np.int64((1 << 32) - 1)
+#: As a run: all places of the window in the document.
+ALL = np.int32(-1)
 
 
 def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -132,7 +136,8 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     ``place`` has the word in its lower half and above it 31 bits of the text's hash, which
     tell texts apart that have one id. ``run`` is 0, or for what a smaller id of the chunk
-    settles the number of windows in a row that are repeats.
+    settles the number of windows in a row that are repeats, or ``ALL`` where one row stands
+    for all places of a window that the document has several times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +169,17 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 begin = np.flatnonzero(fresh)
                 length = np.diff(np.append(begin, len(repeats)))
                 told = repeats[begin]
-                sent = ~settled
+                by_window = np.lexsort((row, own))
+                new = _first_in_group(own[by_window], row[by_window])
+                stands, again = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+                again[by_window] = ~new
+                stands[by_window] = new & ~np.append(new[1:], True)
+                sent = ~settled & ~again
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own[sent], doc[told]])), pa.array(np.concatenate([doc[sent], doc[told]])),
                         pa.array(np.concatenate([packed[sent], packed[told]])),
-                        pa.array(np.concatenate([np.zeros(sent.sum(), np.int32), length.astype(np.int32)])),
+                        pa.array(np.concatenate([np.where(stands[sent], ALL, np.int32(0)), length.astype(np.int32)])),
                     ],
                     names=["window", "doc_id", "place", "run"],
                 )
@@ -195,7 +205,7 @@ def _covered(windows: DataFrame) -> DataFrame:
                 hit[open_] = d > np.repeat(least, np.diff(np.append(start, len(w))))
                 last, least_of_last = w[-1], least[-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit]), pa.array(place[hit]), pa.array(np.maximum(length[hit], 1))], names=["doc_id", "place", "run"]
+                [pa.array(doc[hit]), pa.array(place[hit]), pa.array(np.where(length == 0, np.int32(1), length)[hit])], names=["doc_id", "place", "run"]
             )
 
     # Rows of settled runs need not meet: near copies in one chunk would all go to the window they begin with.
@@ -207,6 +217,18 @@ def _covered(windows: DataFrame) -> DataFrame:
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _own_windows(part: pa.RecordBatch, window: int) -> dict[int, np.ndarray]:
+    """Window hashes of the rows in which one place stands for several."""
+    rows = [i for i, runs in enumerate(part.column(4)) if runs.values is not None and (runs.values.to_numpy() == ALL).any()]
+    found = {}
+    for chunk in chunks(part.column(2).take(pa.array(rows, pa.int64())), SHARD_BYTES):
+        w = words(chunk, SPACE_WORDS)
+        hashes = gram_hashes(word_hashes(chunk.buf, w.starts, w.ends), window)
+        for i in range(chunk.rows):
+            found[rows[chunk.first + i]] = hashes[w.first[i] : max(w.first[i + 1] - window + 1, w.first[i])]
+    return found
+
+
 def _remove(docs: DataFrame, window: int) -> DataFrame:
     """Joins each document's repeated windows into maximal repeats and takes their words out."""
 
@@ -215,6 +237,7 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
             for chunk in chunks(batch.column(2), SHARD_BYTES):
                 part = batch.slice(chunk.first, chunk.rows)
                 same, copies = part.column(1).to_pylist(), part.column(5).to_pylist()
+                equal = _own_windows(part, window)
                 rows = []
                 for i in range(chunk.rows):
                     own = chunk.text(i).split()
@@ -226,6 +249,11 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                         place, length = places.to_numpy(), part.column(4)[i].values.to_numpy()
                         mine = (place >> np.int64(32)) == (same[i] & 0x7FFFFFFF)
                         start, length = (place & _PLACE)[mine], length[mine]
+                        if i in equal:
+                            many = length == ALL
+                            more = np.flatnonzero(np.isin(equal[i], equal[i][start[many]]))
+                            start = np.concatenate([start[~many], more])
+                            length = np.concatenate([length[~many], np.ones(len(more), length.dtype)])
                         change = np.zeros(n + 1, dtype=np.int64)
                         np.add.at(change, start, 1)
                         np.add.at(change, start + length + window - 1, -1)
