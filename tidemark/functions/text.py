@@ -11,10 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Words that carry no topic.
-STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "be", "by", "at", "from", "this", "that")
-#: URL parameters that only track, for every source and for one source.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "referrer", "source", "channel", "_t", "timestamp", "random", "_random")
-TRACKING_OF = {"weibo": ("band_rank", "refer", "t", "luicode", "lfid")}
+STOP_WORDS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这",
+)
+#: Words that are no topic of a headline.
+TOPIC_STOP_WORDS = (
+    *STOP_WORDS,
+    "那", "来", "被", "与", "为", "对", "将", "从", "以", "及", "等", "但", "或", "而", "于", "中", "由", "可", "可以", "已", "已经", "还", "更", "最", "再",
+    "因为", "所以", "如果", "虽然", "然而", "什么", "怎么", "如何", "哪", "哪些", "多少", "几", "这个", "那个", "他", "她", "它", "他们", "她们", "我们",
+    "你们", "大家", "这样", "那样", "怎样", "这么", "那么", "多么", "非常", "特别", "应该", "可能", "能够", "需要", "必须", "一定", "肯定", "确实", "正在",
+    "曾经", "将要", "即将", "刚刚", "马上", "立刻", "回应", "发布", "表示", "称", "曝", "官方", "最新", "重磅", "突发", "热搜", "刷屏", "引发", "关注",
+    "网友", "评论", "转发", "点赞",
+)
+#: URL parameters that only track, for every source and for one source (in lower case).
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "referrer", "source", "channel", "_t", "timestamp", "_", "random",
+    "share_token", "share_id", "share_from",
+)
+TRACKING_OF = {"weibo": ("band_rank", "refer", "t")}
 #: Named character references, and the characters that must be escaped, in order.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
@@ -34,8 +49,8 @@ def without_urls(text: Column) -> Column:
 
 
 def tokens(text: Column, least: int = 2, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Lower-case words of ``least`` characters and more, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(without_urls(text)), r"(?U)[^\w]+", " "), " ")
+    """Words of ``least`` characters and more as they are written, without stop words."""
+    words = F.split(F.regexp_replace(without_urls(text), r"(?U)[^\w]+", " "), " ")
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(list(stop)))
 
 
@@ -45,8 +60,10 @@ def word_tokens(text: Column) -> Column:
 
 
 def topic_tokens(text: Column) -> Column:
-    """Runs of two or more CJK characters, and Latin words."""
-    return F.regexp_extract_all(without_urls(text), F.lit(r"[一-鿿]{2,}|[a-zA-Z]{2,}[a-zA-Z0-9]*"), 0)
+    """Runs of two or more CJK characters, and Latin words; bracketed notes and quotation marks go, and stop words."""
+    plain = F.translate(F.regexp_replace(without_urls(text), r"\[.*?\]", ""), "【】《》「」『』·・•", "")
+    words = F.regexp_extract_all(plain, F.lit(r"[一-鿿]{2,}|[a-zA-Z]{2,}[a-zA-Z0-9]*"), 0)
+    return F.filter(words, lambda w: ~w.isin(list(TOPIC_STOP_WORDS)))
 
 
 def plain_html(html: Column) -> Column:

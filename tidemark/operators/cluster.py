@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ratio_bound, sequence_ratio
 from ..session import checkpointed
+from .ranking import numbered
 
 
 def similar_pairs(titles: DataFrame, threshold: float) -> DataFrame:
@@ -63,9 +64,9 @@ def leaders(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
 def aggregate_titles(listing: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row for each group: its leading title, members, platforms, rows and best rank."""
     titles = listing.groupBy("title").agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"), F.collect_set("platform_id").alias("platforms"))
-    numbered = checkpointed(titles.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "title"))))
-    groups = leaders(numbered.select("pos", "title"), threshold).select("pos", "leader")
-    rows = numbered.join(groups, "pos")
+    ordered = checkpointed(numbered(titles, F.desc("n"), F.asc("title"), name="pos"))
+    groups = leaders(ordered.select("pos", "title"), threshold).select("pos", "leader")
+    rows = ordered.join(groups, "pos")
     return rows.groupBy("leader").agg(
         F.min_by("title", "pos").alias("title"),
         F.count("*").alias("members"),
@@ -73,3 +74,13 @@ def aggregate_titles(listing: DataFrame, threshold: float = 0.7) -> DataFrame:
         F.min("best_rank").alias("best_rank"),
         F.size(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("n_platforms"),
     )
+
+
+def dedup_summary(groups: DataFrame) -> DataFrame:
+    """One row: titles before and after grouping, the share that went, groups on several platforms and on one."""
+    row = groups.agg(
+        F.sum("members").alias("original"), F.count("*").alias("aggregated"),
+        F.count_if(F.col("n_platforms") > 1).alias("multi_platform"), F.count_if(F.col("n_platforms") == 1).alias("single_platform"),
+    )
+    rate = F.coalesce(1 - F.try_divide(F.col("aggregated"), F.col("original")), F.lit(0.0))
+    return row.withColumn("dedup_rate", F.round(rate, 4))

@@ -1 +1,5 @@
-"""Part of tidemark."""
+"""All queries by name, with their SQL."""
+
+from . import queries, reports
+
+__all__ = ["queries", "reports"]

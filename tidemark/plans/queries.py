@@ -50,7 +50,7 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 def _tokens(title: str) -> str:
-    plain = f"regexp_replace(lower(regexp_replace({title}, 'https?://\\S+', '', 'g')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
+    plain = f"regexp_replace(regexp_replace({title}, 'https?://\\S+', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
     return f"list_filter(string_split({plain}, ' '), lambda w: length(w) >= 2 AND w NOT IN ({_STOP}))"
 
 
@@ -382,7 +382,7 @@ def str13_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("lang", "w").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query("WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]{2,}|[a-zA-Z]{2,}[a-zA-Z0-9]*')) AS w FROM documents) SELECT source, count(*) AS n, count(DISTINCT w) AS different FROM w GROUP BY 1")
+@query("WITH w AS (SELECT source, unnest(regexp_extract_all(translate(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '\\[.*?\\]', '', 'g'), '【】《》「」『』·・•', ''), '[\\x{4e00}-\\x{9fff}]{2,}|[a-zA-Z]{2,}[a-zA-Z0-9]*')) AS w FROM documents) SELECT source, count(*) AS n, count(DISTINCT w) AS different FROM w GROUP BY 1")
 def str15_topic_tokens(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("source", F.explode(T.topic_tokens(F.col("text"))).alias("w"))
     return d.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("w").alias("different"))

@@ -28,3 +28,20 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("rank"), "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("platform_id"), F.col("p_name").alias("title"))
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select("date", "platform_id", "title", "rank")
+
+
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed entries out of ``lineitem`` and ``part``: a brand is a feed, a part a page; some have no URL."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    url = F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("https://feeds/"), F.col("l_partkey").cast("string")))
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.to_date("l_shipdate").alias("date"),
+        F.col("p_brand").alias("feed_id"),
+        F.col("p_name").alias("title"),
+        url.alias("url"),
+        (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), (F.col("l_orderkey") % 24).cast("int"))).alias("published_at"),
+        F.col("p_type").alias("summary"),
+        F.col("l_orderkey").alias("item"),
+        F.col("l_linenumber").alias("line"),
+    )
