@@ -433,3 +433,55 @@ def test_stages_keep_the_columns_and_stand_nulls(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, sf).columns == docs.columns
             stage(spark, frame, sf).agg(F.count("*")).collect()
+
+
+def brute_near(rows, similarity=0.8):
+    """Lists of rows, one for each component of five-word Jaccard similarity."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                root[find(i)] = find(j)
+    groups: dict[int, list] = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return list(groups.values())
+
+
+def edited() -> list[tuple[int | None, str | None]]:
+    """Copies with some words changed: chains, a crowd around one text, and texts of one common passage."""
+    r = random.Random(21)
+    word = lambda: f"v{r.randrange(5000)}"
+    rows: list[tuple[int | None, str | None]] = []
+    common = [word() for _ in range(60)]
+    for k in range(25):
+        own = [word() for _ in range(r.choice((6, 40, 120, 300)))]
+        for _ in range(r.randint(1, 5)):
+            rows.append((1000 - len(rows), " ".join(own)))
+            own = list(own)
+            for _ in range(r.randint(0, max(1, len(own) // 45))):
+                own[r.randrange(len(own))] = word()
+    for k in range(60):
+        own = common + [word() for _ in range(r.choice((2, 3, 8, 30)))]
+        rows.append((2000 + k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_near_copies_equal_brute_force(spark, bucket):
+    rows = edited()
+    want = sorted(min(i for i, _ in group) for group in brute_near(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = op08_simhash.keep_one(frame, bucket=bucket)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    assert len(want) < len({brute_print(t) for _, t in rows})
