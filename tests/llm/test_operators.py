@@ -485,3 +485,20 @@ def test_near_copies_equal_brute_force(spark, bucket):
     got = op08_simhash.keep_one(frame, bucket=bucket)
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert len(want) < len({brute_print(t) for _, t in rows})
+
+
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    wanted, rows = {}, []
+    for k, name in enumerate(("mit-grant mit-keep mit-asis", "bsd-grant bsd-source bsd-binary bsd-names", "apache-notice apache-copy apache-asis", "gpl-free gpl-hope", "isc-grant")):
+        own = [op10_licenses.SENTENCES[x][-1] for x in name.split()]
+        for j, (mark, gap) in enumerate((("", "\n\n"), ("# ", "\n#\n"), (" * ", "\n"), ("// ", "\r\n//\r\n"))):
+            parts = ["\n".join(textwrap.wrap(x, 60, initial_indent=mark, subsequent_indent=mark)) for x in own]
+            rows.append((10 * k + j, "Some Heading\nCopyright (c) 2020 A. Body\n" + gap.join(parts) + gap + "More text."))
+            wanted[10 * k + j] = name.replace(" ", ",")
+    rows.append((99, "Released under\n\nthe MIT License."))
+    wanted[99] = ""
+    got = op10_licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["sentence_ids"] for r in got} == wanted
+    assert all(r["n_licenses"] == (r["doc_id"] != 99) for r in got)

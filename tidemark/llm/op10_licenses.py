@@ -1,8 +1,11 @@
 """License scans (operator 10, native): sentence rules.
 
-A text is split into sentences, each is normalised (lower case, everything but a-z and
-0-9 one space), and a sentence that is known becomes its identifier; all others are left
-out. The identifiers in their order are matched against licence rules, each an ordered
+A text is normalised (lower case, everything but a-z and 0-9 one space, line ends kept),
+and a known sentence that fills one line or several becomes its identifier; all others are
+left out. Sentences end at ``.!?`` and blank lines (blank but for comment marks, too), and a
+single line end within a sentence is a space, so that wrapped notices are found as well as
+those of one line. ``:`` and ``;`` stand within known sentences and end none by themselves.
+The DuckDB SQL knows sentences of one line only and is equal where none is wrapped. The identifiers in their order are matched against licence rules, each an ordered
 run of identifiers. Everything is a projection of built-in functions: no shuffle, no
 Python on the executors.
 
@@ -85,13 +88,17 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(s): name for name, all_forms in SENTENCES.items() for s in all_forms}
 
 
+#: A known sentence from the start of a line to the end of one; a blank line ends it. The longest comes first.
+_WHOLE_LINES = r"(?<![^\n])(?:" + "|".join(k.replace(" ", r"[ \n]") for k in sorted(KNOWN, key=len, reverse=True)) + r")(?![^\n])"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
-    cut_up = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+    ended = F.translate(F.regexp_replace(text, r"[.!?][ \t\r\n]+", "\n\n"), _UPPER, _LOWER)
+    lines = F.trim(F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
     known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    found = F.transform(F.filter(cut_up, _has_cue), lambda s: F.try_element_at(known, plain(s)))
-    return F.when(_has_cue(text), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.transform(F.regexp_extract_all(lines, F.lit(_WHOLE_LINES), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    return F.when(_has_cue(text), found).otherwise(F.array().cast("array<string>"))
 
 
 def _has_cue(text: Column) -> Column:
