@@ -502,3 +502,18 @@ def test_wrapped_licenses(spark):
     got = op10_licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["sentence_ids"] for r in got} == wanted
     assert all(r["n_licenses"] == (r["doc_id"] != 99) for r in got)
+
+
+def test_cleaned_text_and_kept_words_are_returned(spark, docs):
+    prose = "The river had risen over night and the lower road was closed to all.\n\nNobody could say when the old bridge was built by hand, é."
+    text = f"Home | News | About | Help\n{prose}\nAll rights reserved."
+    rows = [(1, text, "en", "s", len(text)), (2, prose, "en", "s", len(prose)), (3, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r["doc_id"]: r["clean_text"] for r in op05_quality.cleaned(frame).collect()} == {1: prose, 2: prose, 3: ""}
+    kept = op05_quality.keep_good(frame)
+    assert kept.schema == frame.schema
+    assert rows_of(kept) == [(1, prose, "en", "s", len(prose)), (2, prose, "en", "s", len(prose))]
+    for row in op03_substring.deduplicated(docs).collect():
+        assert len(WORD.findall(row["kept_text"])) == row["n_words"] - row["n_removed"]
+    got = Counter((r["doc_id"], sha(r["kept_text"])) for r in op03_substring.deduplicated(docs).collect())
+    assert got == Counter((r[0], r[3]) for r in brute_substrings(texts()))

@@ -26,7 +26,6 @@ columns are read. Windows are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,7 +213,7 @@ def _covered(windows: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, "doc_id long, place long, run int")
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
 def _own_windows(part: pa.RecordBatch, window: int) -> dict[int, np.ndarray]:
@@ -258,11 +257,11 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                         np.add.at(change, start, 1)
                         np.add.at(change, start + length + window - 1, -1)
                         own = [own[j] for j in np.flatnonzero(np.cumsum(change[:n]) == 0)]
-                    rows.append((n, n - len(own), hashlib.sha256(b" ".join(own)).hexdigest()))
-                n_words, n_removed, digest = zip(*rows, strict=True)
+                    rows.append((n, n - len(own), b" ".join(own)))
+                n_words, n_removed, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+                    [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept_text"],
                 )
 
     return map_arrow(docs.select("doc_id", "same", "text", "places", "runs", "is_copy"), run, _RESULT)
@@ -270,6 +269,12 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, removed words and a digest of the kept words of each document."""
+    kept = deduplicated(docs, window, seed, id_col=id_col, text_col=text_col)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words, removed words and the kept words (``kept_text``, joined by one space) of each document."""
     # Without an alias that changes nothing: the optimiser takes it out of one of the two exchanges of
     # the texts below only (a union keeps its first side's), and then they aren't equal, nor reused.
     doc_id = F.col(id_col)

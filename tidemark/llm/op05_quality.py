@@ -3,8 +3,9 @@
 Every line of a document is judged by itself: punctuation (a line of prose ends like
 a sentence), navigation (table or menu bars, breadcrumbs), symbols, shouting, one word
 over and over, boilerplate phrases, and lines that only repeat an earlier line. Failing
-lines are removed; a document that loses too much of its text is rejected. Over that
-stands the fixed base rule on word counts and repeated five-word windows.
+lines are removed, and all others stay as they are, blank ones too; a document that loses
+too much of its text is rejected. Over that stands the fixed base rule on word counts and
+repeated five-word windows. ``cleaned`` returns the text that stays, ``quality`` its verdicts.
 
 Null text is an empty text. Empty texts have no words and fail the base rule. Very long
 texts are handled whole; memory is bounded by one document's words. Repeated rows are
@@ -20,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +121,7 @@ def clean_lines(text: bytes, rules: LineRules) -> tuple[list[bytes], int, int, i
     for line in text.split(b"\n"):
         own = line.split()  # bytes.split() splits on exactly 0x20 and 0x09-0x0D
         if not own:
+            stay.append(line)
             continue
         size = len(line.translate(None, _SPACES))
         total += size
@@ -155,29 +158,28 @@ def judge(texts: pa.Array, rules: LineRules) -> pa.RecordBatch:
             text = chunk.text(i)
             n = int(w.first[i + 1] - w.first[i])
             repeats = repeat_words(text.split()) if i in repeating else 0
-            _, dup, failed, lost, total = clean_lines(text, rules)
+            stay, dup, failed, lost, total = clean_lines(text, rules)
             base_failed = n < 10 or 100 * repeats > 20 * n
             kept = not base_failed and lost <= rules.most_lost * total
-            out.append((n, int(chars[i]), int(symbols[i]), dup, repeats, base_failed, kept, failed))
+            out.append((n, int(chars[i]), int(symbols[i]), dup, repeats, base_failed, kept, failed, b"\n".join(stay)))
     columns = list(zip(*out, strict=True)) if out else [[]] * len(_KINDS)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)], names=list(_KINDS)
-    )
+    arrays = [pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].view(pa.string())], names=list(_KINDS))
 
 
 _SYMBOL_BYTES = np.isin(np.arange(256), list(_SYMBOLS))
 _KINDS = {
     "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(),
-    "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "n_lines_failed": pa.int64(),
+    "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "n_lines_failed": pa.int64(), "clean_text": pa.binary(),
 }
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, n_lines_failed long"
+    "base_failed boolean, kept boolean, n_lines_failed long, clean_text string"
 )
 
 
-def quality(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of counts and verdicts for each document."""
+def cleaned(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of counts and verdicts for each document, with the text that stays (``clean_text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,16 +189,29 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "d
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
-def keep_good(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns unchanged; no shuffle."""
+def quality(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of counts and verdicts for each document."""
+    return cleaned(docs, rules, id_col=id_col, text_col=text_col).drop("clean_text")
+
+
+def keep_good(docs: DataFrame, rules: LineRules = LineRules(), *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The documents that pass, with their failing lines removed and ``chars_col``, where there
+    is one, counted anew; all other columns are unchanged. No shuffle."""
     at = docs.columns.index(text_col)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(judge(batch.column(at), rules).column("kept"))
+            found = judge(batch.column(at), rules)
+            text, columns = found.column("clean_text"), list(batch.columns)
+            columns[at] = text.cast(batch.schema.field(at).type)
+            if chars is not None:
+                columns[chars] = pc.utf8_length(text).cast(batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(found.column("kept"))
 
     return map_arrow(docs, run, docs.schema)
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    found = cleaned(table(spark, sf_dir, "documents"))
+    return found.withColumns({"n_clean_chars": F.length("clean_text").cast("long"), "clean_sha256": F.sha2("clean_text", 256)}).drop("clean_text")
