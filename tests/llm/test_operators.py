@@ -517,3 +517,14 @@ def test_cleaned_text_and_kept_words_are_returned(spark, docs):
         assert len(WORD.findall(row["kept_text"])) == row["n_words"] - row["n_removed"]
     got = Counter((r["doc_id"], sha(r["kept_text"])) for r in op03_substring.deduplicated(docs).collect())
     assert got == Counter((r[0], r[3]) for r in brute_substrings(texts()))
+
+
+def test_near_dedup_keeps_rows_without_or_with_repeated_ids(spark):
+    r = random.Random(5)
+    one, two, three, four = (" ".join(f"{c}{r.randrange(900)}" for _ in range(50)) for c in "abcd")
+    rows = [(None, one), (1, two), (7, two + " end"), (7, three), (None, three), (8, four), (8, four), (None, ""), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, op08_simhash.keep_one(frame).collect()))
+    assert got == Counter([(None, one), (1, two), (7, three), (8, four), (9, None)])
+    again = [(None, one), (None, one + " end")]
+    assert op08_simhash.keep_one(spark.createDataFrame(again, "doc_id long, text string")).count() == 1
