@@ -528,3 +528,26 @@ def test_near_dedup_keeps_rows_without_or_with_repeated_ids(spark):
     assert got == Counter([(None, one), (1, two), (7, three), (8, four), (9, None)])
     again = [(None, one), (None, one + " end")]
     assert op08_simhash.keep_one(spark.createDataFrame(again, "doc_id long, text string")).count() == 1
+
+
+def test_longest_match_of_repeated_passages(spark):
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    filler = lambda n: [f"f{r.randrange(10**6)}" for _ in range(n)]
+    docs = {1: filler(5) + passage + filler(3) + passage[7:40], 2: passage + filler(4), 3: passage[30:45] + ["x"] + passage[:12], 4: filler(30), 5: passage[50:]}
+    items = {1: filler(3) + passage + filler(2), 2: passage[20:38], 3: ["p1", "p2"]}
+    want = set()
+    for d, x in docs.items():
+        for i, y in items.items():
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= min(10, len(y)) and not (p and q and x[p - 1] == y[q - 1]):
+                        want.add((d, str(i), p, n))
+    frame = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert set(map(tuple, op04_decontaminate.locations(frame, benchmark).collect())) == want
+    longest = {r["doc_id"]: r["longest_match"] for r in op04_decontaminate.contamination(frame, benchmark).collect()}
+    assert longest == {d: max((n for e, _, _, n in want if e == d), default=0) for d in docs}

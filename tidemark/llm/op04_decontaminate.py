@@ -2,13 +2,16 @@
 
 Each chunk of the training documents is a shard with its own suffix array over words.
 Every suffix of every benchmark item is looked up in every shard by binary search, all
-suffixes side by side; what surrounds its place gives its longest verbatim match, and
-the range of suffixes that share its window gives all locations. Only suffixes that begin
+suffixes side by side, and the range of suffixes that share its window gives all places.
+Each place where a match begins is followed word by word to the match's end, which gives
+all locations and the longest verbatim match. Only suffixes that begin
 with two words which also stand together in the benchmark are put in order, as no other
 can match. Documents with a hit word are contaminated and removed in the pipeline.
 
 A benchmark is broadcast in blocks of at most ``block_bytes`` of text;
-a task searches one chunk for one block after the other. Word
+a task searches one chunk for one block after the other. All blocks are held by the driver
+and each executor (some 30 times their text, as words), so a benchmark is meant to be of
+some tens of megabytes. Word
 comparisons use 64-bit hashes; every match is then confirmed on the words themselves.
 
 Null text has no words: such documents are not contaminated and such items never occur.
@@ -90,7 +93,6 @@ class Shard:
         if len(items.single):
             keep |= np.isin(hashes, items.single)
         own = np.flatnonzero(keep)
-        self.end = np.concatenate([doc_end, [n]])
         # Words past a document's end count as 0, which no word's hash is meant to be.
         columns = [np.where(own + j < doc_end[own], self.hashes[own + j], np.uint64(0)) for j in range(depth)]
         order = np.lexsort(columns[::-1]) if len(own) else np.zeros(0, np.int64)
@@ -115,24 +117,6 @@ class Shard:
             low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
         return low
 
-    def longest(self, items: Items, suffix: np.ndarray, at: np.ndarray, most: int = 1 << 30) -> np.ndarray:
-        """Words that each item suffix shares with the nearer of its neighbours in the array."""
-        best = np.zeros(len(suffix), dtype=np.int64)
-        if not len(self.array):
-            return best
-        item_end = items.item_first[np.searchsorted(items.item_first, suffix, side="right")]
-        for side in (at - 1, at):
-            ok = (side >= 0) & (side < len(self.array))
-            place = self.array[np.clip(side, 0, len(self.array) - 1)]
-            length, going = np.zeros(len(suffix), np.int64), ok.copy()
-            while going.any():
-                p, q = place + length, suffix + length
-                going &= (p < self.end[place]) & (q < item_end) & (length < most)
-                going[going] &= self.hashes[p[going]] == items.hashes[q[going]]
-                length += going
-            best = np.maximum(best, length)
-        return best
-
 
 @dataclass
 class Found:
@@ -140,6 +124,7 @@ class Found:
     hit: np.ndarray  # which words are hit
     items: list[list[int]]  # items with an occurring window, of each document
     longest: np.ndarray  # words of the longest verbatim match, of each document
+    locations: list[tuple[int, int, int, int]]  # document, item, first word in the document and words of each longest match
 
 
 def find(chunk: Chunk, items: Items, depth: int) -> Found:
@@ -152,25 +137,32 @@ def find(chunk: Chunk, items: Items, depth: int) -> Found:
     hit = np.zeros(len(hashes), dtype=bool)
     own: list[set[int]] = [set() for _ in range(rows)]
     longest = np.zeros(rows, dtype=np.int64)
+    locations: list[tuple[int, int, int, int]] = []
     if len(shard.array) and len(items.start):
         padded = np.concatenate([items.hashes, np.zeros(depth, np.uint64)])
         keys = padded[items.start[:, None] + np.arange(depth)]
         low, high = shard.bound(keys, items.size, False), shard.bound(keys, items.size, True)
         found = np.flatnonzero(high > low)
-        match_length = np.zeros(len(items.start), np.int64)
-        match_length[found] = shard.longest(items, items.start[found], low[found])
+        word = lambda p: buf[w.starts[p] : w.ends[p]].tobytes()
         for k in found.tolist():
             size, s = int(items.size[k]), int(items.start[k])
             places = shard.array[low[k] : high[k]]
             wanted = items.words[s : s + size]
             for p in places.tolist():
-                if [buf[w.starts[p + j] : w.ends[p + j]].tobytes() for j in range(size)] != wanted:
+                if [word(p + j) for j in range(size)] != wanted:
                     continue
                 hit[p : p + size] = True
                 d = int(np.searchsorted(w.first, p, side="right")) - 1
-                own[d].add(int(items.item[k]))
-                longest[d] = max(longest[d], match_length[k] if high[k] - low[k] == 1 else size)
-    return Found(w.first, hit, [sorted(x) for x in own], longest)
+                item = int(items.item[k])
+                own[d].add(item)
+                if s > items.item_first[item] and p > w.first[d] and items.words[s - 1] == word(p - 1):
+                    continue  # the match begins before, at a window that is found as well
+                length, most = size, min(int(items.item_first[item + 1]) - s, int(w.first[d + 1]) - p)
+                while length < most and items.words[s + length] == word(p + length):
+                    length += 1
+                longest[d] = max(longest[d], length)
+                locations.append((d, item, p - int(w.first[d]), length))
+    return Found(w.first, hit, [sorted(x) for x in own], longest, locations)
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
@@ -234,6 +226,26 @@ def contamination(
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, RESULT)
 
 
+def locations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, start, length) of every verbatim match that can't be longer, in words of the document."""
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(Items.of(i, t, window)) for i, t in item_blocks(benchmark, block_bytes, "item_id", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for chunk in chunks(batch.column(1), SHARD_BYTES):
+                for block in blocks:
+                    rows = [(ids[chunk.first + d], block.value.item_ids[i], p, n) for d, i, p, n in find(chunk, block.value, window).locations]
+                    if rows:
+                        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+                        arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start", "length"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(own, run, "doc_id long, item_id string, start long, length long")
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
     """The documents without a hit word, with all their columns; no shuffle."""
     at = docs.columns.index(text_col)
