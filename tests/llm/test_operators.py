@@ -551,3 +551,14 @@ def test_longest_match_of_repeated_passages(spark):
     assert set(map(tuple, op04_decontaminate.locations(frame, benchmark).collect())) == want
     longest = {r["doc_id"]: r["longest_match"] for r in op04_decontaminate.contamination(frame, benchmark).collect()}
     assert longest == {d: max((n for e, _, _, n in want if e == d), default=0) for d in docs}
+
+
+def test_named_secrets_of_any_name_and_length():
+    for name in ("signing_salt", "encryption_iv", "private_value", "api_access", "pass_word", "app." * 40 + "password"):
+        text = f'{name} = "aB3xK9qLm2Zt7"'
+        assert [text[s:e] for s, k, e in op01_secrets.scan(text)[1] if k == 3] == ["aB3xK9qLm2Zt7"], name
+    for quote in "\"'":
+        text = f"my_secret = {quote}{'aB3/' * 5000}{quote}"
+        assert (13, 3, 13 + 20_000) in op01_secrets.scan(text)[1]
+    text = "\n".join(["k = " + " + ".join(f'"aB{i}x"' for i in range(100)), *["k = k + k"] * 50, "db_password = k"])
+    assert len(op01_secrets.named_literals(text)) == 100

@@ -41,12 +41,11 @@ SENSITIVE = {
     "credentials": 3, "privatekey": 3, "accesskey": 3, "secretkey": 3, "authkey": 3, "bearer": 2, "auth": 2, "key": 1,
     "private": 2, "api": 1, "access": 1, "signing": 2, "encryption": 2, "session": 1,
 }
-_STEMS = (b"passw", b"pwd", b"passphrase", b"secret", b"token", b"key", b"credential", b"bearer", b"auth")
 #: Literals that stand for a value and aren't one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|your[_-].*|example.*|changeme|none|null|true|false|todo|undefined)$")
 
-_PAIR = re.compile(r"([\"']?)(?<![\w.$-])([A-Za-z_][A-Za-z0-9_.-]{0,79})\1[ \t]*(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*")
-_VALUE = re.compile(r"\"((?:[^\"\\\n]|\\.){0,4096})\"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z_][\w.]*)|([^\s,;)}\]\"'+]+)")
+_PAIR = re.compile(r"([\"']?)(?<![\w.$-])([A-Za-z_][A-Za-z0-9_.-]*+)\1[ \t]*(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*")
+_VALUE = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_][\w.]*)|([^\s,;)}\]\"'+]+)")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -90,7 +89,7 @@ def named_literals(text: str, least: int = 5) -> set[tuple[int, int]]:
                     to = plus.end()
                 if not pieces:
                     continue
-                constants[name] = pieces[:64]
+                constants[name] = list(dict.fromkeys(pieces))  # each once, or names that double would grow without end
                 score = name_score(name)
                 if score >= 2 and (own := literal_score("".join(p[2] for p in pieces))) and score + own >= least:
                     found.update((s, e) for s, e, _ in pieces if e > s)
@@ -110,7 +109,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     more = []
-    if (b"=" in low or b":" in low) and any(s in low for s in _STEMS):
+    if b"=" in low or b":" in low:
         more = [(s, 3, e) for s, e in named_literals(text)]
     return base, base + more
 
