@@ -252,6 +252,17 @@ def test_pieces_equal_the_library():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.whole(some[chunk.first + i]).tolist()
 
 
+def test_pieces_whose_hashes_collide_are_told_apart():
+    few = lambda buf, starts, ends: textbytes.word_hashes(buf, starts, ends) & np.uint64(0xFF)
+    encoder = tokens.PieceEncoder(tokens.default_path(), most=300, hasher=few)
+    r = random.Random(6)
+    some = [" ".join("".join(r.choice("abcdé19.") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 80))) for _ in range(200)]
+    for chunk in textbytes.chunks(pa.array(some), 2000):
+        ids, bounds = encoder.encode(chunk)
+        for i in range(chunk.rows):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.whole(some[chunk.first + i]).tolist()
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.arange(1, dtype=np.uint32), rng.integers(0, 50_000, 1000).astype(np.uint32),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table, written
 from .pfor import Segment, pack
 from .textbytes import chunks
-from .tokens import default_path, encoder
+from .tokens import ENCODE_BYTES, default_path, encoder
 
 SEGMENTS = (
     "shard int, segment int, n_ids long, doc_ids array<long>, doc_counts array<int>, payload binary"
@@ -49,7 +49,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment, encode_chunk = TaskContext.get().partitionId(), 0, encoder(path).encode
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = encode_chunk(chunk)
                 counts = np.diff(bounds) + 1
                 ids = np.insert(ids, bounds[1:], np.uint32(end_id))

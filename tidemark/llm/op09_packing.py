@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table, written
 from .textbytes import chunks
-from .tokens import default_path, encoder
+from .tokens import ENCODE_BYTES, default_path, encoder
 
 
 class TightestFit:
@@ -92,7 +92,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_chunk = encoder(path).encode
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = encode_chunk(chunk)
                 counts = np.diff(bounds) + 1
                 ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -22,6 +23,9 @@ from .textbytes import LOWER, Chunk, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Text that is encoded at a time; the arrays of one step take some hundred times as much memory.
+ENCODE_BYTES = 1 << 18
+
 _SPACE, _LETTER, _DIGIT, _PUNCT, _JOINS = range(5)
 _CLASS = np.full(256, _JOINS, dtype=np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -45,10 +49,33 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Rows:
+    """Rows of numbers of any length, one after the other in one array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.start, self.count, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        k, n = self.rows, len(counts)
+        while k + n > len(self.start):
+            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[k : k + n], self.count[k : k + n] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(flat)
+        self.rows += n
+
+
 class PieceEncoder:
-    """Encodes chunks of texts; keeps at most ``most`` distinct pieces and then starts anew."""
+    """Encodes chunks of texts; keeps some distinct pieces and starts anew once there are more than ``most``.
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    Pieces are looked up by a hash and then compared byte by byte, so a piece that shares the hash of
+    another gets its own ids. What is kept stays at a few tens of megabytes for each worker.
+    """
+
+    def __init__(self, path: str, most: int = 1 << 18, most_bytes: int = 8 << 20, hasher: Callable[..., np.ndarray] = word_hashes) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -58,15 +85,13 @@ class PieceEncoder:
         # A tokenizer whose normaliser lower-cases takes "The" and "the" for one piece.
         self._lowers = bool((self.whole("AZ") == self.whole("az")).all())
         self._plain = re.compile("[a-zß-öø-ÿ]{1,100}" if self._lowers and (self.whole("é") == self._raw("é")).all() else "(?!)")
-        self._most = most
-        self._slots = 1 << (2 * most).bit_length()
+        self._most, self._most_bytes, self._hasher = most, most_bytes, hasher
         self._clear()
 
     def _clear(self) -> None:
+        self._slots = 1 << (2 * self._most).bit_length()
         self._keys, self._entry = np.zeros(self._slots, np.uint64), np.zeros(self._slots, np.int32)  # open addressing
-        self._pieces = 0
-        self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
-        self._start, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self._ids, self._pieces = _Rows(np.uint32), _Rows(np.uint8)  # each entry's ids and bytes
 
     def _raw(self, piece: str) -> np.ndarray:
         """Ids of one run of letters, without the normaliser and the splitter."""
@@ -87,28 +112,27 @@ class PieceEncoder:
             left = left[~hit]
         return entry, unknown
 
+    def _differ(self, entry: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces (their numbers) whose bytes are not their entry's: another piece has their hash."""
+        size = ends - starts
+        wrong = self._pieces.count[entry] != size
+        same = np.flatnonzero(~wrong)
+        size = size[same]
+        before = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        unlike = self._pieces.flat[np.repeat(self._pieces.start[entry[same]] - before, size) + step] != buf[np.repeat(starts[same] - before, size) + step]
+        wrong[np.repeat(same, size)[unlike]] = True
+        return np.flatnonzero(wrong)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _add(self, keys: list[int], ids: list[np.ndarray | list[int]]) -> None:
-        n, k = len(keys), self._pieces
-        counts = np.fromiter(map(len, ids), np.int64, n)
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        while k + n > len(self._start):
-            self._start, self._count = np.resize(self._start, 2 * len(self._start)), np.resize(self._count, 2 * len(self._count))
-        while self._used + len(flat) > len(self._flat):
-            self._flat = np.resize(self._flat, 2 * len(self._flat))
-        self._flat[self._used : self._used + len(flat)] = flat
-        self._start[k : k + n], self._count[k : k + n] = self._used + np.cumsum(counts) - counts, counts
-        self._used += len(flat)
-        self._pieces += n
-        while self._pieces * 2 > self._slots:  # one chunk with more pieces than usual
-            old, numbers, self._slots = self._keys, self._entry, 2 * self._slots
-            self._keys, self._entry = np.zeros(self._slots, np.uint64), np.zeros(self._slots, np.int32)
-            self._insert(old[old != 0], numbers[old != 0])
-        self._insert(np.array(keys, np.uint64), np.arange(k, k + n, dtype=np.int32))
-
     def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        while 2 * (len(keys) + np.count_nonzero(self._keys)) > self._slots:  # one chunk with more pieces than usual
+            old = np.flatnonzero(self._keys)
+            known, entries, self._slots = self._keys[old], self._entry[old], 2 * self._slots
+            self._keys, self._entry = np.zeros(self._slots, np.uint64), np.zeros(self._slots, np.int32)
+            self._insert(known, entries)
         slot = (keys & np.uint64(self._slots - 1)).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
@@ -118,8 +142,10 @@ class PieceEncoder:
             left = left[self._keys[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & (self._slots - 1)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        ids: list = [None] * len(keys)
+    def _learn(self, raw: list[bytes]) -> np.ndarray:
+        """New entries for some pieces, in order."""
+        pieces = [x.decode("utf-8", "replace") for x in raw]
+        ids: list = [None] * len(pieces)
         joined = []
         for i, piece in enumerate(pieces):
             if self._plain.fullmatch(piece):  # nothing to normalise or to split: straight to the merges
@@ -138,11 +164,15 @@ class PieceEncoder:
                 continue
             for i, a, b in zip(part, [0, *(ends + 1)], [*ends, len(found)], strict=True):
                 ids[i] = found[a:b]
-        self._add(keys, ids)
+        first = self._ids.rows
+        for rows, own, kind in ((self._ids, ids, np.uint32), (self._pieces, raw, np.uint8)):
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            rows.add(np.fromiter(itertools.chain.from_iterable(own), kind, int(counts.sum())), counts)
+        return np.arange(first, self._ids.rows, dtype=np.int32)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's documents, and where each document starts (and the end)."""
-        if self._pieces > self._most:
+        if self._ids.rows > self._most or max(self._pieces.used, 4 * self._ids.used) > self._most_bytes:
             self._clear()
         buf = LOWER[chunk.buf] if self._lowers else chunk.buf
         kind = _CLASS[buf]
@@ -154,17 +184,20 @@ class PieceEncoder:
         if kind[0] != _SPACE:
             starts = np.concatenate([[0], starts])
         ends = np.flatnonzero(cut | ((a != _SPACE) & (b == _SPACE))) + 1
-        keys = word_hashes(buf, starts, ends) | np.uint64(1)  # never 0, which marks a free slot
+        keys = self._hasher(buf, starts, ends) | np.uint64(1)  # never 0, which marks a free slot
+        piece = lambda i: buf[starts[i] : ends[i]].tobytes()
         entry, unknown = self._look_up(keys)
         if unknown.any():
             new, where = np.unique(keys[unknown], return_index=True)
-            first = np.flatnonzero(unknown)[where]
-            self._learn(new.tolist(), [buf[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first], ends[first], strict=True)])
+            self._insert(new, self._learn([piece(i) for i in np.flatnonzero(unknown)[where].tolist()]))
             entry[unknown] = self._look_up(keys[unknown])[0]
-        counts = self._count[entry].astype(np.int64)
+        if len(wrong := self._differ(entry, buf, starts, ends)):
+            own = {x: k for k, x in enumerate(dict.fromkeys(piece(i) for i in wrong.tolist()))}
+            entry[wrong] = self._learn(list(own))[[own[piece(i)] for i in wrong.tolist()]]
+        counts = self._ids.count[entry].astype(np.int64)
         place = np.zeros(len(counts) + 1, dtype=np.int64)
         np.cumsum(counts, out=place[1:])
-        ids = self._flat[np.repeat(self._start[entry] - place[:-1], counts) + np.arange(place[-1])]
+        ids = self._ids.flat[np.repeat(self._ids.start[entry] - place[:-1], counts) + np.arange(place[-1])]
         bounds = place[np.searchsorted(starts, chunk.offsets)]
         raw = chunk.buf.tobytes()
         if any(s in raw for s in self._special):
