@@ -75,7 +75,7 @@ class PieceEncoder:
     another gets its own ids. What is kept stays at a few tens of megabytes for each worker.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18, most_bytes: int = 8 << 20, hasher: Callable[..., np.ndarray] = word_hashes) -> None:
+    def __init__(self, path: str, most: int = 1 << 19, most_bytes: int = 16 << 20, hasher: Callable[..., np.ndarray] = word_hashes) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -89,7 +89,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._slots = 1 << (2 * self._most).bit_length()
+        self._slots = 1 << (2 * self._most - 1).bit_length()
         self._keys, self._entry = np.zeros(self._slots, np.uint64), np.zeros(self._slots, np.int32)  # open addressing
         self._ids, self._pieces = _Rows(np.uint32), _Rows(np.uint8)  # each entry's ids and bytes
 
@@ -165,9 +165,9 @@ class PieceEncoder:
             for i, a, b in zip(part, [0, *(ends + 1)], [*ends, len(found)], strict=True):
                 ids[i] = found[a:b]
         first = self._ids.rows
-        for rows, own, kind in ((self._ids, ids, np.uint32), (self._pieces, raw, np.uint8)):
-            counts = np.fromiter(map(len, own), np.int64, len(own))
-            rows.add(np.fromiter(itertools.chain.from_iterable(own), kind, int(counts.sum())), counts)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._ids.add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
+        self._pieces.add(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
         return np.arange(first, self._ids.rows, dtype=np.int32)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
