@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
+    near_copies,
     op01_secrets,
     op02_pii,
     op03_substring,
@@ -411,10 +412,11 @@ def test_query_has_every_document(spark, sf, name):
 def test_pipeline(spark, sf):
     """The five stages by brute force, on small input."""
     docs = pd.read_parquet(f"{sf}/documents.parquet")
-    verdict = op05_quality.judge(pa.array(docs.text), op05_quality.LineRules()).column("kept").to_pylist()
-    docs = docs[verdict]
-    component = brute_components({int(i): brute_print(t) for i, t in zip(docs.doc_id, docs.text, strict=True)})
-    docs = docs[[component[int(i)] == int(i) for i in docs.doc_id]]
+    judged = op05_quality.judge(pa.array(docs.text), op05_quality.LineRules())
+    docs["text"] = judged.column("clean_text").to_pylist()
+    docs = docs[judged.column("kept").to_pylist()]
+    first = {min(i for i, _ in group) for group in brute_near(list(zip(docs.doc_id, docs.text, strict=True)))}
+    docs = docs[docs.doc_id.isin(first)]
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = set()
     for t in pd.read_parquet(f"{sf}/benchmark.parquet").text:
@@ -488,8 +490,9 @@ def edited() -> list[tuple[int | None, str | None]]:
     return rows
 
 
-@pytest.mark.parametrize("bucket", [32, 2])
-def test_near_copies_equal_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "part"), [(4, 4096), (32, 4096), (2, 3)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, bucket, part):
+    monkeypatch.setattr(near_copies, "PART", part)
     rows = edited()
     want = sorted(min(i for i, _ in group) for group in brute_near(rows))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

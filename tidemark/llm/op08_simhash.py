@@ -20,14 +20,11 @@ and exact copies share a fingerprint and so a component. Very long texts are has
 whole. An empty table gives an empty result. Only the id and text columns are read.
 
 The contract above (three words, two bits) is that of the query. The pipeline's stage asks
-for five words and a Jaccard similarity of 0.8: at that, fingerprints differ in some ten
-bits, more than keys of two or three segments can find, so ``near_copies`` joins the sets
-of shingles themselves by their rarest shingles (prefix filter) and compares whole sets.
+for five words and a Jaccard similarity of 0.8: see ``near_copies``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -40,7 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, written
 from .components import connected_components
-from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, gram_hashes, mix64, word_hashes, words
+from .near_copies import keep_one
+from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, words
+
+__all__ = ["components", "fingerprints", "keep_one", "links", "op8_simhash"]
 
 SHINGLE, SEED = 3, 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -204,155 +204,5 @@ def components(docs: DataFrame, *, bucket: int = 32, id_col: str = "doc_id", tex
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(chunk: Chunk, k: int) -> Iterator[np.ndarray]:
-    """The distinct hashes of each document's runs of ``k`` words, in order (fewer words: one run of all)."""
-    w = words(chunk, SPACE_WORDS)
-    own = word_hashes(LOWER[chunk.buf], w.starts, w.ends)
-    grams = gram_hashes(own, k)
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        yield np.unique(grams[a : b - k + 1]) if b - a >= k else gram_hashes(own[a:b], max(b - a, 1))
-
-
-def set_key(hashes: np.ndarray) -> int:
-    """64 bits that stand for a set of shingles; documents of one set are exact copies in their words."""
-    return int(mix64(np.array([mix64(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
-
-
-def _common(texts: DataFrame, shingle: int, most: int) -> np.ndarray:
-    """Shingles that many documents share, the commonest last. Only an order for ``_prefixes``: any order gives the same result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).take(pa.array(np.arange(0, batch.num_rows, 2)))
-            sets = [x for chunk in chunks(rows) for x in shingle_sets(chunk, shingle)]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            top = np.flatnonzero(counts >= 4)
-            top = top[np.argsort(-counts[top], kind="stable")[:2048]]
-            yield pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(counts[top].astype(np.int64))], names=["token", "n"])
-
-    counted = map_arrow(texts.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "token").limit(most).collect()
-    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def _prefixes(texts: DataFrame, shingle: int, similarity: float, most: int = 1 << 15) -> DataFrame:
-    """(doc_id, same, key, n, tokens): each row's set of shingles, its size and its first shingles in one order of all.
-
-    If two sets are as similar as asked, at least one of the first n - ceil(similarity * n) + 1
-    of each is shared, whatever the order. Rare shingles come first.
-    """
-    common = _common(texts, shingle, most)
-    by_value = np.argsort(common)
-    shared = texts.sparkSession.sparkContext.broadcast((common[by_value], by_value + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = shared.value
-        for batch in batches:
-            keys, sizes, tokens = [], [], []
-            for chunk in chunks(batch.column(2)):
-                for own in shingle_sets(chunk, shingle):
-                    n = len(own)
-                    keys.append(set_key(own))
-                    sizes.append(n)
-                    if n and len(values):
-                        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                        own = own[np.argsort(np.where(values[at] == own, ranks[at], 0), kind="stable")]
-                    tokens.append(own[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64) if n else own.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["doc_id", "same", "key", "n", "tokens"],
-            )
-
-    return map_arrow(texts.select("doc_id", "same", "text"), run, "doc_id long, same long, key long, n int, tokens array<long>")
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets of shingles are as similar as asked."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    chosen = nodes.join(wanted, "key").select("key", F.col("first.doc_id").alias("id"), F.col("first.same").alias("first_same"))
-    own = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("same") == F.col("first_same"))).select("key", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                found = [x.tobytes() for x in shingle_sets(chunk, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(found, pa.binary())], names=["key", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    known = written(map_arrow(own, sets, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
-    first = known.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    second = known.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return cut(map_arrow(joined, compare, "a long, b long"))
-
-
-def near_copies(docs: DataFrame, shingle: int, similarity: float, *, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, first, component) of each distinct set of shingles.
-
-    Sets are linked if their Jaccard similarity is ``similarity`` or more; components are
-    those of all such links, none missed. ``first`` is the set's first row: the least id
-    (null last), then the least hash of the text.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
-    rows = written(_prefixes(texts, shingle, similarity), "prefixes")
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "same")
-    nodes = cut(rows.groupBy("key").agg(F.min(order).alias("first")))
-    tokens = rows.select("key", "n", F.posexplode("tokens").alias("place", "token"))
-    shared = tokens.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("token", "least")
-    met = tokens.join(shared, "token").distinct()
-    met = cut(met.join(met.groupBy("token").agg(F.count("*").alias("many")), "token"))
-
-    def fits(x_n, x_place, y_n, y_place):
-        """Whether what comes from a shared shingle on can be enough; it is for the first that two similar sets share."""
-        rest = F.least(x_n - x_place, y_n - y_place)
-        return rest * (1 + similarity) >= similarity * (x_n + y_n) - 1e-9
-
-    later = lambda x, i: F.filter("all", lambda y, j: (j > i) & fits(x.n, x.place, y.n, y.place))
-    few = met.where(F.col("many") <= bucket).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("key", "n", "place"))).alias("all"))
-    pairs = few.select(
-        F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x.key.alias("a"), y.key.alias("b")))))).alias("p")
-    ).select("p.a", "p.b")
-    # A shingle of many sets: each is compared with the least, and then only with those of other components.
-    crowd = met.where(F.col("many") > bucket)
-    star = crowd.where(F.col("key") != F.col("least")).select(F.col("least").alias("a"), F.col("key").alias("b"))
-    pairs = cut(pairs.unionByName(star).distinct())
-    links = _similar(pairs, nodes, texts, shingle, similarity)
-    labels = connected_components(links)
-    labelled = lambda frame, name: frame.join(name.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    if not crowd.isEmpty():
-        crowd = cut(labelled(crowd, labels).select("token", "key", "n", "place", "component"))
-        parts = crowd.groupBy("token", "component").agg(F.count("*").alias("size"))
-        split = parts.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        within = crowd.join(split, "token")
-        x = within.where(F.col("component") != F.col("largest")).select("token", *(F.col(c).alias("x_" + c) for c in ("key", "n", "place", "component")))
-        y = within.select("token", *(F.col(c).alias("y_" + c) for c in ("key", "n", "place", "component")))
-        fit = fits(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"))
-        more = x.join(y, "token").where((F.col("x_component") != F.col("y_component")) & fit)
-        more = cut(more.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct())
-        if not more.isEmpty():
-            links = links.unionByName(_similar(more, nodes, texts, shingle, similarity))
-            labels = connected_components(links)
-    return labelled(nodes, labels).select("key", "first", "component")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of near copies: the least id (null last), then the least hash of the text."""
-    found = near_copies(docs, shingle, similarity, bucket=bucket, id_col=id_col, text_col=text_col)
-    first = found.groupBy("component").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.same").alias("first_same"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_same": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    kept = keyed.join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_same") == F.col("first_same")), "left_semi")
-    return kept.dropDuplicates(["_id", "_same"]).select(*docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
