@@ -490,7 +490,7 @@ def edited() -> list[tuple[int | None, str | None]]:
     return rows
 
 
-@pytest.mark.parametrize(("bucket", "part"), [(4, 4096), (32, 4096), (2, 3)])
+@pytest.mark.parametrize(("bucket", "part"), [(16, 4096), (2, 3)])
 def test_near_copies_equal_brute_force(spark, monkeypatch, bucket, part):
     monkeypatch.setattr(near_copies, "PART", part)
     rows = edited()
