@@ -8,8 +8,9 @@ marginal, and the blocks whose marginal is above a half are the text. All potent
 estimated by counting on the labelled pages below, on the driver; they are some kilobytes.
 
 Null html is empty and gives an empty text, as does a page without content. Broken markup
-is read as far as it goes: unclosed elements end with their parents, a new paragraph ends
-an open one, a ``<`` that starts no tag is text. Text of any length is kept whole. Repeated
+is read as far as it goes, in linear time: unclosed elements end with their parents, a new
+paragraph ends an open one, a ``<`` that starts no tag is text, an unclosed script or style
+runs to the end. Formulas are text; buttons, choices and embedded objects are not. Text of any length is kept whole. Repeated
 rows are extracted each on its own (a marginal of exactly a half is not content) and an
 empty table gives an empty result. Only the id, url and html columns are read.
 """
@@ -20,7 +21,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -31,21 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?][^>]*>", re.DOTALL
-)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
-#: Elements without an end tag; those whose text is no text; those that don't start a new block.
+#: Elements without an end tag; those whose text runs to their end tag, whatever stands in it; those whose
+#: text isn't shown as text; those that don't start a new block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas audio video".split())
-_INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+_RAW = frozenset("script style textarea title noscript iframe".split())
+_SILENT = frozenset("template svg select datalist option optgroup button object canvas audio video annotation".split())
+_INLINE = _SILENT | frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mpadded".split()
 )
 #: What an opening tag ends, up to the nearest of the elements after it.
 _ENDS = {
     "p": ({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote", "main", "aside"}),
     "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}),
 } | {t: ({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote", "main", "aside"}) for t in "h1 h2 h3 h4 h5 h6 div ul ol dl table section article aside header footer nav form pre blockquote main figure hr address".split()}
 
@@ -69,55 +71,122 @@ class Page:
         return len(self.tag) - 1
 
 
+class Scanner:
+    """Finds tags from left to right; every look-ahead that finds nothing is done once, so any text takes linear time."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.quotes = True  # until a tag's quotes run past the end of the text: from there on, a tag ends at the next >
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends before ``at`` ends, or -1; a > in quotes ends no tag."""
+        if at > self.last[">"]:
+            return -1
+        to = at
+        while self.quotes:
+            mark = _TAG_MARK.search(self.source, to)
+            if mark and mark[0] == ">":
+                return mark.end()
+            if not mark or self.last[mark[0]] == mark.start():
+                self.quotes = False
+                break
+            to = self.source.find(mark[0], mark.end()) + 1
+        return self.source.find(">", at) + 1
+
+    def marks(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag, closing, attributes) of tags; of comments and declarations the tag is empty."""
+        source, at = self.source, self.source.find("<")
+        while at >= 0:
+            name = _NAME.match(source, at)
+            end = -1
+            if name:
+                end = self.tag_end(name.end())
+                if end > 0:
+                    tag, closing = name[2].lower(), bool(name[1])
+                    yield at, end, tag, closing, source[name.end() : end]
+                    if tag in _RAW and not closing and source[end - 2] != "/":
+                        close = _RAW_END[tag].search(source, end)
+                        yield end, close.start() if close else len(source), "", False, ""
+                        end = close.start() if close else len(source)
+            elif source.startswith("<!--", at):
+                close = source.find("-->", at + 4)
+                end = close + 3 if close >= 0 else len(source)
+                yield at, end, "", False, ""
+            elif source.startswith(("<!", "<?"), at) and at < self.last[">"]:
+                end = source.find(">", at) + 1
+                yield at, end, "", False, ""
+            at = source.find("<", end if end > 0 else at + 1)
+
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_MARK = re.compile("[>\"']")
+_RAW_END = {tag: re.compile("</" + tag, re.IGNORECASE) for tag in _RAW}
+
+
+class Open:
+    """The open elements: each one's node, the innermost block, and where each tag stands."""
+
+    def __init__(self, root: int) -> None:
+        self.nodes, self.tags, self.block = [root], ["#root"], [0]
+        self.places: dict[str, list[int]] = {}
+        self.links = self.silent = 0
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.block.append(self.block[-1] if tag in _INLINE else len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.links += tag == "a"
+        self.silent += tag in _SILENT
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.block.pop()
+            self.places[tag].pop()
+            self.links -= tag == "a"
+            self.silent -= tag in _SILENT
+
+
 def parse(source: str) -> Page:
     page = Page()
-    open_ = [page.add("#root", -1, {})]
+    open_ = Open(page.add("#root", -1, {}))
     parts: list[str] = []
-    links, linked = 0, 0
-    low = None
-
-    def block() -> int:
-        """Innermost open element that isn't inline."""
-        return next(i for i in reversed(open_) if page.tag[i] not in _INLINE)
+    linked = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                page.add("#text", block(), {}, text, linked)
+                page.add("#text", open_.nodes[open_.block[-1]], {}, text, linked)
             parts, linked = [], 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not open_.silent:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if open_.links:
                 linked += len(text)
 
-    def close(at: int) -> None:
-        nonlocal links
-        links -= sum(page.tag[i] == "a" for i in open_[at:])
-        del open_[at:]
-
     at = 0
-    for m in _MARKUP.finditer(source):
-        if m.start() < at:
-            continue
-        say(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    for start, end, tag, closing, attributes in Scanner(source).marks():
+        say(source[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            where = next((i for i in range(len(open_) - 1, 0, -1) if page.tag[open_[i]] == tag), 0)
-            if where:
-                if any(page.tag[i] not in _INLINE for i in open_[where:]):
-                    if tag in _INLINE:  # a stray inline end doesn't end the blocks within
-                        continue
+        if closing:
+            where = open_.nearest((tag,))
+            if where and (tag not in _INLINE or where > open_.block[-1]):  # a stray inline end doesn't end the blocks within
+                if open_.block[-1] >= where:
                     flush()
-                close(where)
+                open_.close(where)
             elif tag == "p":
                 flush()
             continue
@@ -126,29 +195,20 @@ def parse(source: str) -> Page:
             continue
         if tag not in _INLINE:
             flush()
-            if tag in _ENDS:
-                ended, within = _ENDS[tag]
-                for i in range(len(open_) - 1, 0, -1):
-                    if page.tag[open_[i]] in within:
-                        break
-                    if page.tag[open_[i]] in ended:
-                        close(i)
-                        break
-        if tag in _VOID:
-            continue
-        if tag in _RAW:
-            if not m[3].endswith("/>"):
-                if low is None:
-                    low = source.lower() if len(source.lower()) == len(source) else source
-                end = low.find("</" + tag, at)
-                at = len(source) if end < 0 else end
+        if tag in _ENDS:
+            ended, within = _ENDS[tag]
+            if (own := open_.nearest(ended)) > open_.nearest(within):
+                open_.close(own)
+        if tag in _VOID or tag in _RAW:
             continue
-        attributes = {}
-        if m[3] != ">":
-            for a in _ATTRIBUTE.finditer(m[3].rstrip("/>")):
-                attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-        open_.append(page.add(tag, open_[-1] if tag in _INLINE else block(), attributes))
-        links += tag == "a"
+        found = {}
+        if attributes != ">":
+            for a in _ATTRIBUTE.finditer(attributes.rstrip("/>")):
+                found.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+        parent = open_.nodes[-1] if tag in _INLINE else open_.nodes[open_.block[-1]]
+        node = page.add(tag, parent, found)
+        if not (tag in _SILENT and attributes.endswith("/>")):
+            open_.push(node, tag)
     say(source[at:])
     flush()
     return page
