@@ -548,7 +548,7 @@ def test_longest_match_of_repeated_passages(spark):
     r = random.Random(9)
     passage = [f"p{k}" for k in range(60)]
     filler = lambda n: [f"f{r.randrange(10**6)}" for _ in range(n)]
-    docs = {1: filler(5) + passage + filler(3) + passage[7:40], 2: passage + filler(4), 3: passage[30:45] + ["x"] + passage[:12], 4: filler(30), 5: passage[50:]}
+    docs = {1: filler(5) + passage + filler(3) + passage[7:40], 2: passage + filler(4), 3: passage[30:45] + ["x"] + passage[:12], 4: filler(30), 5: passage[50:], 6: [*filler(3), *passage[20:29], *filler(2), *passage[3:7]]}
     items = {1: filler(3) + passage + filler(2), 2: passage[20:38], 3: ["p1", "p2"]}
     want = set()
     for d, x in docs.items():
@@ -564,7 +564,11 @@ def test_longest_match_of_repeated_passages(spark):
     benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     assert set(map(tuple, op04_decontaminate.locations(frame, benchmark).collect())) == want
     longest = {r["doc_id"]: r["longest_match"] for r in op04_decontaminate.contamination(frame, benchmark).collect()}
-    assert longest == {d: max((n for e, _, _, n in want if e == d), default=0) for d in docs}
+    run = lambda x, y, p, q: next(n for n in range(len(x) + 1) if p + n >= len(x) or q + n >= len(y) or x[p + n] != y[q + n])
+    assert longest == {d: max(run(x, y, p, q) for y in items.values() for p in range(len(x)) for q in range(len(y))) for d, x in docs.items()}
+    again = {r["doc_id"]: r["longest_match"] for r in op04_decontaminate.contamination(frame, benchmark, block_bytes=10).collect()}
+    assert again == longest
+    assert longest[4] == 0 and longest[6] == 9
 
 
 def test_named_secrets_of_any_name_and_length():

@@ -1,18 +1,16 @@
 """Benchmark decontamination (operator 4): training suffix arrays.
 
-Each chunk of the training documents is a shard with its own suffix array over words.
-Every suffix of every benchmark item is looked up in every shard by binary search, all
-suffixes side by side, and the range of suffixes that share its window gives all places.
-Each place where a match begins is followed word by word to the match's end, which gives
-all locations and the longest verbatim match. Only suffixes that begin
-with two words which also stand together in the benchmark are put in order, as no other
-can match. Documents with a hit word are contaminated and removed in the pipeline.
-
-A benchmark is broadcast in blocks of at most ``block_bytes`` of text;
-a task searches one chunk for one block after the other. All blocks are held by the driver
-and each executor (some 30 times their text, as words), so a benchmark is meant to be of
-some tens of megabytes. Word
-comparisons use 64-bit hashes; every match is then confirmed on the words themselves.
+Each chunk of the training documents is a shard with its own suffix array over words: all its
+suffixes in order, by prefix doubling. Every suffix of every benchmark item is looked up in every
+shard by binary search, word after word and all suffixes side by side; the range that is left
+has all places where its words stand. So each document gets its longest verbatim match, however
+short, and from a window on each place is followed to the match's end, which gives all locations.
+Documents with a hit word are contaminated and removed in the pipeline.
+
+The benchmark is taken in blocks of at most ``block_bytes`` of text. There is one pass over the
+documents for each block, and what a pass has found is written for the next, so driver and
+executors hold one block at a time (some 30 times its text, as words), however large the
+benchmark is. Searches use 64-bit hashes of words; every window is then confirmed on the words.
 
 Null text has no words: such documents are not contaminated and such items never occur.
 Items with fewer words than a window are one window of their own length. Equal windows
@@ -22,7 +20,6 @@ and empty tables give no hits. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,28 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
-from .textbytes import ALNUM_WORDS, LOWER, SHARD_BYTES, Chunk, chunks, covered, per_document, word_hashes, words
+from .common import map_arrow, table, written
+from .textbytes import ALNUM_WORDS, LOWER, SHARD_BYTES, Chunk, chunks, per_document, word_hashes, words
 
 WINDOW = 10
 
 
 @dataclass
 class Items:
-    """The benchmark's words in a row, and its distinct windows."""
+    """A block of the benchmark: its words in a row, each a suffix's start."""
 
     hashes: np.ndarray  # of all words of all items
     words: list[bytes]
-    item_first: np.ndarray  # first word of each item, and the end
-    item_ids: list[str]
-    start: np.ndarray  # first word of each window
-    size: np.ndarray  # its number of words
-    item: np.ndarray  # its item
-    pairs: np.ndarray  # bit table of word pairs at a window's start
-    single: np.ndarray  # word hashes of windows of one word
+    item: np.ndarray  # the item of each word
+    first: np.ndarray  # first word of each item, and the end
+    ids: list[str]
 
     @staticmethod
-    def of(ids: list, texts: list[str | None], window: int) -> Items:
+    def of(ids: list, texts: list[str | None]) -> Items:
         own: list[bytes] = []
         first = [0]
         for chunk in chunks(pa.array(texts, pa.large_string())):
@@ -60,61 +53,51 @@ class Items:
             w = words(Chunk(0, buf, chunk.offsets), ALNUM_WORDS)
             own += [buf[s:e].tobytes() for s, e in zip(w.starts, w.ends, strict=True)]
             first += (w.first[1:] + first[-1] - w.first[0]).tolist()
-        first = np.array(first)
         joined = np.frombuffer(b" ".join(own) + b" ", dtype=np.uint8)
         lengths = np.array([len(x) for x in own], dtype=np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        hashes = word_hashes(joined, starts, starts + lengths)
-        sizes = np.diff(first)
-        many = np.where(sizes >= window, sizes - window + 1, (sizes > 0).astype(np.int64))
-        item = np.repeat(np.arange(len(sizes)), many)
-        start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
-        size = np.minimum(window, sizes[item])
-        pairs = np.zeros(1 << 20, dtype=bool)
-        two = start[size >= 2]
-        pairs[pair_slot(hashes[two], hashes[two + 1])] = True
-        return Items(hashes, own, first, [str(i) for i in ids], start, size, item, pairs, np.unique(hashes[start[size == 1]]))
-
-
-def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint64(3) + b) >> np.uint64(44)).astype(np.int64)
+        return Items(word_hashes(joined, starts, starts + lengths), own, np.repeat(np.arange(len(ids)), np.diff(first)), np.array(first), [str(i) for i in ids])
 
 
 class Shard:
-    """The suffix array of a chunk's words, as deep as the longest window."""
+    """The suffix array of a chunk's words: every suffix, to the end of its document, in order."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, items: Items, depth: int) -> None:
+    def __init__(self, hashes: np.ndarray, first: np.ndarray) -> None:
         n = len(hashes)
-        self.hashes = np.concatenate([hashes, np.zeros(depth, np.uint64)])
-        doc_end = np.repeat(first[1:], np.diff(first))
-        keep = np.zeros(n, dtype=bool)
-        if n > 1:
-            keep[:-1] = items.pairs[pair_slot(hashes[:-1], hashes[1:])]
-        if len(items.single):
-            keep |= np.isin(hashes, items.single)
-        own = np.flatnonzero(keep)
-        # Words past a document's end count as 0, which no word's hash is meant to be.
-        columns = [np.where(own + j < doc_end[own], self.hashes[own + j], np.uint64(0)) for j in range(depth)]
-        order = np.lexsort(columns[::-1]) if len(own) else np.zeros(0, np.int64)
-        self.array = own[order]
-        self.columns = [c[order] for c in columns]
-
-    def bound(self, keys: np.ndarray, sizes: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search of all keys (rows of word hashes) at once, on their first ``sizes`` words."""
-        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.array), np.int64)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            at = np.minimum(mid, len(self.array) - 1)
-            right = np.full(len(keys), after)  # go right if the suffix is less, or equal and after
-            undecided = open_.copy()
-            for j in range(keys.shape[1]):
-                undecided &= j < sizes
-                if not undecided.any():
-                    break
-                there = self.columns[j][at]
-                right = np.where(undecided & (there != keys[:, j]), there < keys[:, j], right)
-                undecided &= there == keys[:, j]
-            low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        self.values, number = np.unique(hashes, return_inverse=True)
+        self.words = number.astype(np.int64) + 1  # 0 stands for the end of a document
+        self.end = np.repeat(first[1:], np.diff(first))
+        self.counts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(self.values)))])
+        rank, open_, k = self.words, np.arange(n), 1
+        self.array = np.arange(n)
+        slots = np.arange(n)
+        while len(open_):
+            after = np.where(open_ + k < self.end[open_], rank[np.minimum(open_ + k, n - 1)], 0)
+            order = np.argsort(rank[open_] * (n + 2) + after, kind="stable")
+            own, after = open_[order], after[order]
+            self.array[slots] = own
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = (rank[own[1:]] != rank[own[:-1]]) | (after[1:] != after[:-1])
+            rank = rank.copy()
+            start = np.flatnonzero(fresh)
+            size = np.diff(np.append(start, len(own)))
+            rank[own] = np.repeat(slots[start], size) + 1
+            left = np.repeat(size > 1, size) & (after > 0)  # suffixes that end together are equal for good
+            open_, slots, k = own[left], slots[left], 2 * k
+
+    def at(self, place: np.ndarray, word: int) -> np.ndarray:
+        """The number of the word so many words into the suffixes at some places of the array."""
+        own = self.array[place] + word
+        return np.where(own < self.end[self.array[place]], self.words[np.minimum(own, len(self.words) - 1)], 0)
+
+    def bound(self, low: np.ndarray, high: np.ndarray, word: int, key: np.ndarray, after: bool) -> np.ndarray:
+        """Binary search within ranges whose suffixes are equal up to ``word``."""
+        low, high = low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) // 2
+            there = self.at(mid, word)
+            right = (there <= key[open_]) if after else (there < key[open_])
+            low[open_[right]], high[open_[~right]] = mid[right] + 1, mid[~right]
         return low
 
 
@@ -127,59 +110,73 @@ class Found:
     locations: list[tuple[int, int, int, int]]  # document, item, first word in the document and words of each longest match
 
 
-def find(chunk: Chunk, items: Items, depth: int) -> Found:
-    """Looks every item suffix up in the chunk's suffix array."""
+def find(chunk: Chunk, items: Items, window: int) -> Found:
+    """Looks every suffix of the items up in the chunk's suffix array."""
     buf = LOWER[chunk.buf]
     w = words(Chunk(chunk.first, buf, chunk.offsets), ALNUM_WORDS)
     hashes = word_hashes(buf, w.starts, w.ends)
-    shard = Shard(hashes, w.first, items, depth)
-    rows = chunk.rows
-    hit = np.zeros(len(hashes), dtype=bool)
-    own: list[set[int]] = [set() for _ in range(rows)]
-    longest = np.zeros(rows, dtype=np.int64)
-    locations: list[tuple[int, int, int, int]] = []
-    if len(shard.array) and len(items.start):
-        padded = np.concatenate([items.hashes, np.zeros(depth, np.uint64)])
-        keys = padded[items.start[:, None] + np.arange(depth)]
-        low, high = shard.bound(keys, items.size, False), shard.bound(keys, items.size, True)
-        found = np.flatnonzero(high > low)
-        word = lambda p: buf[w.starts[p] : w.ends[p]].tobytes()
-        for k in found.tolist():
-            size, s = int(items.size[k]), int(items.start[k])
-            places = shard.array[low[k] : high[k]]
-            wanted = items.words[s : s + size]
-            for p in places.tolist():
-                if [word(p + j) for j in range(size)] != wanted:
-                    continue
-                hit[p : p + size] = True
-                d = int(np.searchsorted(w.first, p, side="right")) - 1
-                item = int(items.item[k])
-                own[d].add(item)
-                if s > items.item_first[item] and p > w.first[d] and items.words[s - 1] == word(p - 1):
-                    continue  # the match begins before, at a window that is found as well
-                length, most = size, min(int(items.item_first[item + 1]) - s, int(w.first[d + 1]) - p)
-                while length < most and items.words[s + length] == word(p + length):
-                    length += 1
-                longest[d] = max(longest[d], length)
-                locations.append((d, item, p - int(w.first[d]), length))
-    return Found(w.first, hit, [sorted(x) for x in own], longest, locations)
-
-
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-
-
-def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """The benchmark, one bounded block after the other."""
-    ids, texts, size = [], [], 0
+    n = len(hashes)
+    found = Found(w.first, np.zeros(n, bool), [[] for _ in range(chunk.rows)], np.zeros(chunk.rows, np.int64), [])
+    if not n or not len(items.hashes):
+        return found
+    shard = Shard(hashes, w.first)
+    doc = np.repeat(np.arange(chunk.rows), np.diff(w.first))[shard.array]
+    number = np.minimum(np.searchsorted(shard.values, items.hashes), len(shard.values) - 1)
+    number = np.where(shard.values[number] == items.hashes, number + 1, -1)
+    item_end = items.first[items.item + 1]
+    live = np.flatnonzero(number > 0)
+    low, high = shard.counts[number[live] - 1], shard.counts[number[live]]
+    whole: list[tuple[int, int, int, int]] = []  # windows: first word in the items, words, range in the array
+    for size in range(1, window + 1):
+        if size > 1:
+            on = live + size - 1 < item_end[live]
+            key = np.where(on, number[np.minimum(live + size - 1, len(number) - 1)], -1)
+            on &= key > 0
+            live, low, high, key = live[on], low[on], high[on], key[on]
+            low, high = shard.bound(low, high, size - 1, key, False), shard.bound(low, high, size - 1, key, True)
+            live, low, high = (x[low < high] for x in (live, low, high))
+        if not len(live):
+            break
+        change = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+        found.longest[doc[np.cumsum(change[:n]) > 0]] = size
+        full = np.full(len(live), size == window) | ((live == items.first[items.item[live]]) & (live + size == item_end[live]))
+        whole += zip(live[full].tolist(), [size] * int(full.sum()), low[full].tolist(), high[full].tolist(), strict=True)
+    word = lambda p: buf[w.starts[p] : w.ends[p]].tobytes()
+    own: list[set[int]] = [set() for _ in range(chunk.rows)]
+    for s, size, a, b in whole:
+        item, wanted = int(items.item[s]), items.words[s : s + size]
+        for p in shard.array[a:b].tolist():
+            if [word(p + j) for j in range(size)] != wanted:
+                continue
+            d = int(np.searchsorted(w.first, p, side="right")) - 1
+            found.hit[p : p + size] = True
+            own[d].add(item)
+            if s > items.first[item] and p > w.first[d] and items.words[s - 1] == word(p - 1):
+                continue  # the match begins before, at a window that is found as well
+            length, most = size, min(int(items.first[item + 1]) - s, int(w.first[d + 1]) - p)
+            while length < most and items.words[s + length] == word(p + length):
+                length += 1
+            found.longest[d] = max(found.longest[d], length)
+            found.locations.append((d, item, p - int(w.first[d]), length))
+    found.items = [sorted(x) for x in own]
+    return found
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[Items]:
+    """The benchmark, one bounded block after the other (one without items, if it is empty)."""
+    ids, texts, size, none = [], [], 0, True
     for row in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1] or "") + 16
         if size >= block_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            yield Items.of(ids, texts)
+            ids, texts, size, none = [], [], 0, False
+    if ids or none:
+        yield Items.of(ids, texts)
+
+
+_STATE = "doc_id long, text string, n_words long, hits array<int>, items array<string>, longest_match long"
 
 
 def contamination(
@@ -187,81 +184,99 @@ def contamination(
     benchmark: DataFrame,
     window: int = WINDOW,
     *,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 2 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
-    spark = docs.sparkSession
-    blocks = [
-        spark.sparkContext.broadcast(Items.of(ids, texts, window))
-        for ids, texts in item_blocks(benchmark, block_bytes, item_col, item_text_col)
-    ]
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Items.of([], [], window))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(1), SHARD_BYTES):
-                named: list[list[str]] = [[] for _ in range(chunk.rows)]
-                hit = longest = None
-                for block in blocks:
-                    found = find(chunk, block.value, window)
-                    hit = found.hit if hit is None else hit | found.hit
-                    longest = found.longest if longest is None else np.maximum(longest, found.longest)
-                    for own, items in zip(named, found.items, strict=True):
-                        own += [block.value.item_ids[i] for i in items]
-                n_hit = per_document(hit, found.first)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(chunk.first, chunk.rows), pa.array(np.diff(found.first), pa.int64()), pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in named], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0), pa.array(longest, pa.int64()),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
-                )
-
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, RESULT)
-
-
-def locations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, length) of every verbatim match that can't be longer, in words of the document."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Items.of(i, t, window)) for i, t in item_blocks(benchmark, block_bytes, "item_id", "text")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1), SHARD_BYTES):
-                for block in blocks:
-                    rows = [(ids[chunk.first + d], block.value.item_ids[i], p, n) for d, i, p, n in find(chunk, block.value, window).locations]
+
+    def search(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk in chunks(batch.column(1), SHARD_BYTES):
+                    part, found = batch.slice(chunk.first, chunk.rows), find(chunk, block.value, window)
+                    hits, named = [], []
+                    for i, (before, items) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                        own = found.hit[found.first[i] : found.first[i + 1]].copy()
+                        own[before or []] = True
+                        hits.append(np.flatnonzero(own).astype(np.int32))
+                        named.append((items or []) + [block.value.ids[k] for k in found.items[i]])
+                    longest = np.maximum(found.longest, part.column(5).to_numpy())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0), part.column(1), pa.array(np.diff(found.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())),
+                            pa.array(named, pa.list_(pa.string())), pa.array(longest, pa.int64()),
+                        ],
+                        names=["doc_id", "text", "n_words", "hits", "items", "longest_match"],
+                    )
+
+        return run
+
+    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest_match")]
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *none)
+    state = _in_passes(state, benchmark, block_bytes, item_col, item_text_col, search, _STATE)
+    return state.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "longest_match",
+    )
+
+
+def _in_passes(frame: DataFrame, benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str, search, schema) -> DataFrame:
+    """One pass over the frame for each block of the benchmark; all but the last are written."""
+    blocks = item_blocks(benchmark, block_bytes, item_col, text_col)
+    block = next(blocks)
+    while block is not None:
+        held = frame.sparkSession.sparkContext.broadcast(block)
+        frame = map_arrow(frame, search(held), schema)
+        if (block := next(blocks, None)) is not None:
+            frame = written(frame, "decontamination")
+            held.unpersist()
+    return frame
+
+
+def locations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, start, length) of every verbatim match of a window or more that can't be longer, in words of the document."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def search(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for chunk in chunks(batch.column(1), SHARD_BYTES):
+                    rows = [(ids[chunk.first + d], block.value.ids[i], p, n) for d, i, p, n in find(chunk, block.value, window).locations]
                     if rows:
                         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
                         arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "start", "length"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(own, run, "doc_id long, item_id string, start long, length long")
+        return run
 
+    found = None
+    for block in item_blocks(benchmark, block_bytes, "item_id", "text"):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+        one = written(map_arrow(own, search(held), "doc_id long, item_id string, start long, length long"), "locations")
+        held.unpersist()
+        found = one if found is None else found.unionByName(one)
+    return found
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
-    """The documents without a hit word, with all their columns; no shuffle."""
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, block_bytes: int = 2 << 20, text_col: str = "text") -> DataFrame:
+    """The documents without a hit word (null texts have none), with all their columns; no shuffle."""
     at = docs.columns.index(text_col)
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Items.of(i, t, window)) for i, t in item_blocks(benchmark, block_bytes, "item_id", "text")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(at), SHARD_BYTES):
-                clean = np.ones(chunk.rows, dtype=bool)
-                for block in blocks:
+
+    def search(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk in chunks(batch.column(at), SHARD_BYTES):
                     found = find(chunk, block.value, window)
-                    clean &= per_document(found.hit, found.first) == 0
-                yield batch.slice(chunk.first, chunk.rows).filter(pa.array(clean))
+                    clean = per_document(found.hit, found.first) == 0
+                    yield batch.slice(chunk.first, chunk.rows).filter(pa.array(clean))
+
+        return run
 
-    return map_arrow(docs, run, docs.schema)
+    return _in_passes(docs, benchmark, block_bytes, "item_id", "text", search, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,14 +150,6 @@ def runs_within(first: np.ndarray, k: int, n: int) -> np.ndarray:
     return ok
 
 
-def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Mask over n words of those in a run of ``k`` words that begins at one of ``starts``."""
-    delta = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, np.minimum(starts + k, n), -1)
-    return np.cumsum(delta[:n]) > 0
-
-
 def sliding(op, x: np.ndarray, k: int) -> np.ndarray:
     """``op`` (np.minimum or np.maximum) over each window of ``k`` values."""
     width, out = 1, x
