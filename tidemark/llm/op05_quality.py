@@ -1,8 +1,9 @@
 """Quality rules (operator 5): line-first cleaning.
 
 Every line of a document is judged by itself: punctuation (a line of prose ends like
-a sentence), navigation (table or menu bars, breadcrumbs), symbols, shouting, one word
-over and over, boilerplate phrases, and lines that only repeat an earlier line. Failing
+a sentence or has a sentence's end within), navigation (table or menu bars, breadcrumbs,
+menus of capitalised words), symbols, shouting, one word over and over, boilerplate phrases
+in English, German, French and Spanish, and lines that only repeat an earlier line. Failing
 lines are removed, and all others stay as they are, blank ones too; a document that loses
 too much of its text is rejected. Over that stands the fixed base rule on word counts and
 repeated five-word windows. ``cleaned`` returns the text that stays, ``quality`` its verdicts.
@@ -35,26 +36,23 @@ _LOWER = bytes(range(0x61, 0x7B))
 _NO_ALNUM = bytes(b for b in range(128) if not chr(b).isalnum())
 
 #: Phrases of lines that carry no content of their own.
-BOILERPLATE = (
-    b"all rights reserved",
-    b"terms of service",
-    b"terms and conditions",
-    b"privacy policy",
-    b"cookie policy",
-    b"accept cookies",
-    b"use of cookies",
-    b"click here",
-    b"read more",
-    b"sign up",
-    b"log in",
-    b"subscribe to our",
-    b"share this",
-    b"follow us",
-    b"skip to content",
-    b"back to top",
-    b"lorem ipsum",
-    b"enable javascript",
-)
+BOILERPLATE = tuple(
+    phrase.encode()
+    for phrase in (
+        "all rights reserved", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "accept cookies", "use of cookies",
+        "click here", "read more", "sign up", "log in", "subscribe to our", "share this", "follow us", "skip to content", "back to top",
+        "lorem ipsum", "enable javascript",
+        "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "cookies akzeptieren", "verwendung von cookies",
+        "hier klicken", "mehr lesen", "weiterlesen", "jetzt registrieren", "folgen sie uns", "zum inhalt springen", "nach oben", "zum seitenanfang",
+        "tous droits réservés", "conditions d'utilisation", "conditions générales", "politique de confidentialité", "accepter les cookies",
+        "cliquez ici", "lire la suite", "en savoir plus", "inscrivez-vous", "suivez-nous", "aller au contenu", "haut de page",
+        "todos los derechos reservados", "términos y condiciones", "términos de servicio", "política de privacidad", "aceptar cookies",
+        "haga clic aquí", "leer más", "seguir leyendo", "regístrate", "síguenos", "saltar al contenido", "volver arriba",
+    )
+)
+#: Marks that end a sentence, and marks that may follow them.
+_ENDS = ".!?…:;。！？"
+_CLOSERS = "\"'”’»›)]"
 
 
 @dataclass(frozen=True)
@@ -67,10 +65,20 @@ class LineRules:
     least_letters: int = 12  # of a line to which the upper-case rule applies
     most_same: float = 0.4  # share of the line's words that equal the word before
     least_same: int = 8  # words of a line to which the same-word rule applies
+    least_prose: int = 6  # words of a line to which the rule of sentence ends applies
+    least_menu: int = 4  # words of a line without an end to which the menu rule applies
+    most_capitals: float = 0.7  # words of a menu that begin with a capital
     boilerplate_words: int = 12  # a phrase only condemns lines of at most so many words
     most_lost: float = 0.5  # share of the document's word characters in failing lines
 
 
+def ends(word: bytes) -> bool:
+    """Whether a sentence or a clause ends with the word."""
+    if word[-1] in b".!?:;":
+        return True
+    return word.decode("utf-8", "replace").rstrip(_CLOSERS).endswith(tuple(_ENDS))
+
+
 def line_failure(line: bytes, words: list[bytes], rules: LineRules) -> str:
     """Name of the first rule that the line fails, or nothing."""
     n = len(words)
@@ -92,9 +100,14 @@ def line_failure(line: bytes, words: list[bytes], rules: LineRules) -> str:
     if n >= rules.least_same and sum(map(eq, words, words[1:])) > rules.most_same * n:
         return "repetition"
     if n <= rules.boilerplate_words:
-        low = line.lower()
+        low = line.lower() if line.isascii() else line.decode("utf-8", "replace").lower().encode()
         if any(x in low for x in BOILERPLATE):
             return "boilerplate"
+    if n >= rules.least_menu and not ends(words[-1]) and not any(w[-1] in b".!?" for w in words):
+        if sum(w.decode("utf-8", "replace")[0].isupper() for w in words) > rules.most_capitals * n:
+            return "navigation"
+        if n >= rules.least_prose:
+            return "punctuation"
     return ""
 
 
