@@ -4,9 +4,10 @@ The model labels words as parts of an e-mail address, IP address, card or phone
 from their shape and their neighbours' shapes and cue words. It is trained on the driver
 from the small labelled table below (maximum likelihood, forward-backward in numpy), and
 its weights, some kilobytes, go to the tasks. Each task decodes batches of word sequences
-with Viterbi in numpy, all sequences of similar length side by side. A sequence is the
-words around the words that have a digit or ``@``; by the model's structure all other
-words are outside. The fixed patterns are always reported; what the model finds beside
+with Viterbi in numpy, all sequences of similar length side by side. Decoding allows labels
+only on words that have a digit or ``@`` (in the table all labelled words have one). All other
+words are outside then, whatever their scores, so the best path falls apart there and a sequence
+is just the words around those with a digit or ``@``: decoding it is decoding the text. The fixed patterns are always reported; what the model finds beside
 them, without overlap, is added.
 
 Null text is an empty text and has no spans. Whole texts are read, whatever their length.
@@ -114,10 +115,10 @@ isbn 978-3-16-148410-0 is out of print
 order 1234567890123456 was shipped on 12 May
 section 4.2.1.7 of the manual says so
 see pages 12-15 and 20-25 of part 2
-the value 9807915762804490 is an id
+the value 9000010000200003 is an id
 on 12/05/2020 at 14:00 in hall 7
-id 4845168114407329 and 7536784127813050 follow
-token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here
+id 6000700080009001 and 3100410051006101 follow
+token = "00aa11bb22cc33dd44ee55ff66aa77bb88cc99dd" here
 costs 100 200 300 or 400 dollars
 @home and @work are handles
 meet @ noon or @ 12 o'clock
@@ -137,21 +138,30 @@ _WORD = re.compile(r"\S+")
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+", re.UNICODE)
 
 
-@cache
 def shape(word: str) -> str:
-    """A word's shape: letters are one x, digits a d and how many (up to 5)."""
-    return _RUNS.sub(lambda m: f"d{min(len(m[0]), 5)}" if m[0][0].isdecimal() else "x", word[:60])[:24]
+    """A word's shape: letters are one x, digits a d and how many (5 stands for more)."""
+    return _RUNS.sub(lambda m: f"d{min(len(m[0]), 5)}" if m[0][0].isdecimal() else "x", word)
+
+
+_SHAPES: dict[str, str] = {}
+_SHAPES_KEPT, _LONG_WORD = 50_000, 60
 
 
-_SHAPES_KEPT = 50_000
+def known_shape(word: str) -> str:
+    """The same; those of short words are kept, so memory is bounded."""
+    if len(word) > _LONG_WORD:
+        return shape(word)
+    if word not in _SHAPES:
+        if len(_SHAPES) >= _SHAPES_KEPT:
+            _SHAPES.clear()
+        _SHAPES[word] = shape(word)
+    return _SHAPES[word]
 
 
 def features(words: list[str]) -> list[list[str]]:
     """The names of each word's features."""
-    if shape.cache_info().currsize > _SHAPES_KEPT:
-        shape.cache_clear()
     core = [w.strip(".,;:!?\"'()[]{}|") for w in words]
-    shapes = ["^", *map(shape, core), "$"]
+    shapes = ["^", *map(known_shape, core), "$"]
     cues = ["", *(_CUES.get(c.lower(), "") for c in core)]
     valid = [""] * len(words)
     for i, c in enumerate(core):
@@ -185,7 +195,9 @@ class Model:
     move: np.ndarray
 
     def scores(self, words: list[str]) -> np.ndarray:
-        return np.array([self.emit[[self.names[f] for f in own if f in self.names]].sum(axis=0) for own in features(words)])
+        found = np.array([self.emit[[self.names[f] for f in own if f in self.names]].sum(axis=0) for own in features(words)])
+        found[[not _MARK.search(w) for w in words], 1:] = -1e6
+        return found
 
 
 def labelled() -> list[tuple[list[str], list[int]]]:
