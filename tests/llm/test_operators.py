@@ -649,11 +649,22 @@ def test_wrapped_licenses(spark):
             parts = ["\n".join(textwrap.wrap(x, 60, initial_indent=mark, subsequent_indent=mark)) for x in own]
             rows.append((10 * k + j, "Some Heading\nCopyright (c) 2020 A. Body\n" + gap.join(parts) + gap + "More text."))
             wanted[10 * k + j] = name.replace(" ", ",")
+    for k, (text, ids) in enumerate([
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl2-line,mpl2-where"),
+        ("x. This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. y", "mpl11-line"),
+        ("/* This software is provided 'as-is', without any express or implied\n * warranty. */\n\n/* Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: */", "zlib-asis,zlib-grant"),
+    ]):
+        rows += [(200 + k, text)] * 2
+        wanted[200 + k] = ids
+    rows += [(300, "word " * 200_000 + "\nLicensed under the MIT License.\n" + "word " * 1000), (None, None)]
+    wanted |= {300: "mit-line", None: ""}
     rows.append((99, "Released under\n\nthe MIT License."))
     wanted[99] = ""
     got = op10_licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["sentence_ids"] for r in got} == wanted
-    assert all(r["n_licenses"] == (r["doc_id"] != 99) for r in got)
+    assert all(r["n_licenses"] == (r["doc_id"] not in (99, None)) for r in got)
+    assert {r["licenses"] for r in got if r["doc_id"] in (200, 201)} == {"MPL-2.0", "MPL-1.1"}
+    assert op10_licenses.licenses(spark.createDataFrame([], "doc_id long, text string, ids string, licenses int")).collect() == []
 
 
 def test_cleaned_text_and_kept_words_are_returned(spark, docs):

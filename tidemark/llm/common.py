@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a single machine) a temporary folder stands in.
+    Only on a single machine (``local`` masters, as in tests) a temporary folder stands in where it is unset.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tidemark_shared", None)
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = context._tidemark_shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -50,7 +52,6 @@ def written(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 
-
 def map_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches that stay small for long texts too: it lowers the session's settings
     for Arrow batches where they are above ``BATCH_ROWS`` and ``BATCH_BYTES``."""

@@ -51,7 +51,31 @@ SENTENCES = {
     "gpl-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     "gpl-hope": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",),
     "lgpl-line": ("Licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    "mpl-line": ("This Source Code Form is subject to the terms of the Mozilla Public License, v.", "Licensed under the Mozilla Public License, version 2.0."),
+    "mpl2-line": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.",
+                  "Licensed under the Mozilla Public License 2.0.", "This work is licensed under the Mozilla Public License, version 2.0."),
+    "mpl2-where": ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+                   "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "mpl11-line": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "Licensed under the Mozilla Public License, version 1.1.",
+                   "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    "gpl2-free": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "agpl-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "agpl-line": ("Licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3."),
+    "lgpl21-line": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    "lgpl-free": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "epl2-line": ("Licensed under the Eclipse Public License, version 2.0.", "This work is licensed under the Eclipse Public License, version 2.0."),
+    "boost-line": ("Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."),
+    "unlicense-free": ("This is free and unencumbered software released into the public domain.",),
+    "cc0-line": ("This work is licensed under CC0 1.0.", "Licensed under CC0 1.0.", "This work is licensed under a Creative Commons Zero 1.0 Universal License."),
+    "cc-by3-line": ("Licensed under CC BY 3.0.", "This work is licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    "cc-by-sa3-line": ("Licensed under CC BY-SA 3.0.", "This work is licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    "zlib-asis": ("This software is provided 'as-is', without any express or implied warranty.",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
+    "spdx-gpl2": ("SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0"),
+    "spdx-agpl": ("SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "spdx-lgpl3": ("SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "spdx-lgpl21": ("SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "spdx-isc": ("SPDX-License-Identifier: ISC",), "spdx-bsd2": ("SPDX-License-Identifier: BSD-2-Clause",), "spdx-cc0": ("SPDX-License-Identifier: CC0-1.0",),
+    "spdx-epl2": ("SPDX-License-Identifier: EPL-2.0",), "spdx-boost": ("SPDX-License-Identifier: BSL-1.0",), "spdx-unlicense": ("SPDX-License-Identifier: Unlicense",),
     "cc-by-nc-line": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.",
                       "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-line": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.",
@@ -71,12 +95,17 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")), ("BSD-3-Clause", ("spdx-bsd3",)), ("BSD", ("bsd-line",)),
     ("GPL-3.0", ("gpl3-line",)), ("GPL-3.0", ("spdx-gpl3",)), ("GPL-3.0", ("gpl-free", "gpl-hope")), ("GPL-2.0", ("gpl2-line",)),
-    ("LGPL-3.0", ("lgpl-line",)), ("MPL-2.0", ("mpl-line",)), ("MPL-2.0", ("spdx-mpl",)),
+    ("LGPL-3.0", ("lgpl-line",)), ("MPL-2.0", ("mpl2-line",)), ("MPL-2.0", ("spdx-mpl",)), ("MPL-1.1", ("mpl11-line",)),
+    ("GPL-2.0", ("spdx-gpl2",)), ("GPL-2.0", ("gpl2-free", "gpl-hope")), ("AGPL-3.0", ("agpl-line",)), ("AGPL-3.0", ("spdx-agpl",)), ("AGPL-3.0", ("agpl-free", "gpl-hope")),
+    ("LGPL-3.0", ("spdx-lgpl3",)), ("LGPL-2.1", ("lgpl21-line",)), ("LGPL-2.1", ("spdx-lgpl21",)), ("LGPL-2.1", ("lgpl-free",)),
+    ("EPL-2.0", ("epl2-line",)), ("EPL-2.0", ("spdx-epl2",)), ("BSL-1.0", ("boost-line",)), ("BSL-1.0", ("spdx-boost",)),
+    ("Unlicense", ("unlicense-free",)), ("Unlicense", ("spdx-unlicense",)), ("ISC", ("spdx-isc",)), ("BSD-2-Clause", ("spdx-bsd2",)), ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("CC0-1.0", ("cc0-line",)), ("CC0-1.0", ("spdx-cc0",)), ("CC-BY-3.0", ("cc-by3-line",)), ("CC-BY-SA-3.0", ("cc-by-sa3-line",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-line",)), ("CC-BY-SA-4.0", ("cc-by-sa-line",)), ("CC-BY-4.0", ("cc-by-line",)),
 )
 
 #: Every known sentence holds one of these.
-CUES = ("licen", "permission", "warrant", "redistribut", "copyright")
+CUES = ("licen", "permission", "warrant", "redistribut", "copyright", "free and unencumbered", "cc0", "copy of the mpl")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,7 +123,8 @@ _WHOLE_LINES = r"(?<![^\n])(?:" + "|".join(k.replace(" ", r"[ \n]") for k in sor
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
-    ended = F.translate(F.regexp_replace(text, r"[.!?][ \t\r\n]+", "\n\n"), _UPPER, _LOWER)
+    numbered = F.regexp_replace(text, r"([ (][vV])\.[ \t]+([0-9])", "$1 $2")  # "v. 2.0" ends no sentence
+    ended = F.translate(F.regexp_replace(numbered, r"[.!?][ \t\r\n]+", "\n\n"), _UPPER, _LOWER)
     lines = F.trim(F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
     known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     found = F.transform(F.regexp_extract_all(lines, F.lit(_WHOLE_LINES), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
@@ -134,7 +164,7 @@ def oracle() -> str:
     ordered = "[" + ", ".join(quote(n) for n in order) + "]"
     return f"""
 WITH cut_up AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([ (][vV])\\.[ \\t]+([0-9])', '\\1 \\2', 'g'), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ), known AS (
   SELECT doc_id, list_filter(list_transform(parts, lambda s: ({known})[
     trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ')]), lambda x: x IS NOT NULL) AS ids FROM cut_up
