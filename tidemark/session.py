@@ -18,8 +18,11 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; only where that is unset a temporary one stands in."""
+    """Cuts lineage in the folder of ``spark.checkpoint.dir``; only on a single machine a temporary one stands in where that is unset."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return frame.checkpoint(eager=True)
