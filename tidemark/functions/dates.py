@@ -9,9 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The phrases in Chinese.
+CHINESE = {"今天": "today", "昨天": "yesterday", "前天": "2 days ago", "本周": "this week", "这周": "this week", "上周": "last week", "本月": "this month", "这个月": "this month", "上月": "last month", "上个月": "last month"}
+
+
 def date_range(words: str, as_of: date) -> tuple[date, date]:
     """First and last day of a phrase such as ``last 7 days`` or ``this month``."""
     w = " ".join(words.lower().split())
+    w = CHINESE.get(w, w)
+    if m := re.fullmatch(r"(?:最近|过去)\s?(\d+)\s?天", w):
+        w = f"last {m[1]} days"
+    elif m := re.fullmatch(r"(\d+)\s?天前", w):
+        w = f"{m[1]} days ago"
     monday, first = as_of - timedelta(as_of.weekday()), as_of.replace(day=1)
     fixed = {
         "today": (as_of, as_of),
@@ -33,6 +42,43 @@ def date_range(words: str, as_of: date) -> tuple[date, date]:
     raise ValueError(f"not a date or a range: {words!r}")
 
 
+def compare_period(words: str | dict[str, str], as_of: date) -> tuple[date, date] | None:
+    """First and last day of a period to compare; other than in ``date_range`` the last week and month are the 7 and 30 days before."""
+    if isinstance(words, dict):
+        try:
+            return date.fromisoformat(words["start"]), date.fromisoformat(words["end"])
+        except (KeyError, ValueError):
+            return None
+    ago = lambda n: as_of - timedelta(n)
+    return {
+        "today": (as_of, as_of), "yesterday": (ago(1), ago(1)), "last_week": (ago(7), ago(1)), "this_week": (ago(as_of.weekday()), as_of),
+        "last_month": (ago(30), ago(1)), "this_month": (as_of.replace(day=1), as_of),
+    }.get(words)
+
+
+def checked_day(day: date, as_of: date, most_days: int = 365) -> date:
+    """The day, if it is neither in the future nor too long ago."""
+    if day > as_of:
+        raise ValueError(f"{day} is after {as_of}")
+    if (as_of - day).days > most_days:
+        raise ValueError(f"{day} is more than {most_days} days before {as_of}")
+    return day
+
+
+def day_state(day: Column, as_of: Column, most_days: int = 365) -> Column:
+    """``future``, ``old`` or ``ok``."""
+    return F.when(day > as_of, "future").when(F.datediff(as_of, day) > most_days, "old").otherwise("ok")
+
+
+def age_days(published: Column, as_of: Column) -> Column:
+    return (F.unix_micros(as_of) - F.unix_micros(published)) / F.lit(86_400e6)
+
+
+def clock(time: Column) -> Column:
+    """HH:MM of ``2024-01-31 09:30:00``, ``09-30`` or ``09:30``."""
+    return F.regexp_replace(F.substring(F.element_at(F.split(time, " "), -1), 1, 5), "-", ":")
+
+
 def in_period(t: Column, start: str, end: str) -> Column:
     """Whether a time of day HH:MM is in [start, end), which may wrap around midnight."""
     return (t >= start) & (t < end) if start <= end else (t >= start) | (t < end)
@@ -46,5 +92,4 @@ def day_spine(spark_frame: DataFrame, start: date, end: date, column: str = "dat
 
 def fresh(published: Column, as_of: Column, most_days: Column) -> Column:
     """Undated rows and a limit of 0 or less always pass."""
-    age = (F.unix_micros(as_of) - F.unix_micros(published)) / F.lit(86_400e6)
-    return published.isNull() | (most_days <= 0) | (age <= most_days)
+    return published.isNull() | (most_days <= 0) | (age_days(published, as_of) <= most_days)

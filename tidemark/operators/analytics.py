@@ -41,7 +41,8 @@ def group_titles(listing: DataFrame, rules: Rules, cap: int) -> DataFrame:
     titles = titles.withColumn("position", rules.group_of(F.col("title"))).where(F.col("position") >= 0)
     order = Window.partitionBy("position").orderBy(F.desc("weight"), "best_rank", F.desc("n"), "platform_id", "title")
     caps = F.coalesce(*[F.when(F.col("position") == i, F.lit(g.limit or cap)) for i, g in enumerate(rules.groups)], F.lit(cap))
-    return titles.withColumn("place", F.row_number().over(order)).where(F.col("place") <= caps).drop("n")
+    most = max([cap, *(g.limit or cap for g in rules.groups)])  # a literal limit, so that partitions cut before the shuffle
+    return titles.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where(F.col("place") <= caps).drop("n")
 
 
 def keyword_counts(listing: DataFrame, *by: str) -> DataFrame:

@@ -18,14 +18,26 @@ def fenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"^\s+|\s+$", ""))
 
 
+def mended(text: Column) -> Column:
+    """A list of objects that is not quite JSON: text around it goes, commas before a closing bracket go,
+    single quotes around names and values become double ones, and a list that is cut off ends after its last whole object."""
+    start = F.locate("[", text)
+    body = F.when(start > 0, F.substring(text, start, F.length(text))).otherwise(text)
+    body = F.regexp_replace(body, r"(?<=[\[{,:])(\s*)'([^'\"]*)'(?=\s*[,:}\]])", '$1"$2"')
+    body = F.regexp_replace(body, r"(?s)^(.*[}\]])[^}\]]*$", "$1")
+    body = F.when(body.endswith("]"), body).otherwise(F.concat(body, F.lit("]")))
+    return F.regexp_replace(body, r",(\s*[}\]])", "$1")
+
+
 def score(text: Column) -> Column:
     """In [0, 1]; 0.5 where there is none or it is no number."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(text.try_cast("double"), F.lit(0.5))))
 
 
 def reply_rows(replies: DataFrame, body: str = "body") -> DataFrame:
-    """(item_id, at, tag_id, score): flat entries and those with a list of tags. What is no array gives no rows."""
-    items = replies.select(F.posexplode(F.from_json(fenced(F.col(body)), REPLY)).alias("at", "e"))
+    """(item_id, at, tag_id, score): flat entries and those with a list of tags. What is no array, mended or not, gives no rows."""
+    text = fenced(F.col(body))
+    items = replies.select(F.posexplode(F.coalesce(F.from_json(text, REPLY), F.from_json(mended(text), REPLY))).alias("at", "e"))
     flat = F.array(F.struct(F.col("e.tag_id").alias("tag_id"), F.col("e.score").alias("score")))
     tags = F.when(F.col("e.tag_id").isNotNull(), flat).otherwise(F.col("e.tags"))
     rows = items.select(F.col("e.id").alias("item_id"), "at", F.posexplode(tags).alias("nth", "t"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.score import hotness_of_group
 from ..functions.text import jaccard, ratio_bound, sequence_ratio
 from ..session import checkpointed
 from .ranking import numbered
@@ -62,8 +63,12 @@ def leaders(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def aggregate_titles(listing: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """One row for each group: its leading title, members, platforms, rows and best rank."""
-    titles = listing.groupBy("title").agg(F.count("*").alias("n"), F.min("rank").alias("best_rank"), F.collect_set("platform_id").alias("platforms"))
+    """One row for each group: its leading title, members, platforms, days, rows, best rank, and the leader's
+    hotness with half of each member's."""
+    titles = listing.groupBy("title").agg(
+        F.count("*").alias("n"), F.min("rank").alias("best_rank"), F.collect_set("platform_id").alias("platforms"), F.collect_set("date").alias("dates"),
+        hotness_of_group("rank").alias("weight"),
+    )
     ordered = checkpointed(numbered(titles, F.desc("n"), F.asc("title"), name="pos"))
     groups = leaders(ordered.select("pos", "title"), threshold).select("pos", "leader")
     rows = ordered.join(groups, "pos")
@@ -73,6 +78,8 @@ def aggregate_titles(listing: DataFrame, threshold: float = 0.7) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("best_rank").alias("best_rank"),
         F.size(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("n_platforms"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("n_dates"),
+        F.round(F.min_by("weight", "pos") * 0.5 + F.sum("weight") * 0.5, 4).alias("weight"),
     )
 
 

@@ -1,5 +1,5 @@
 """All queries by name, with their SQL."""
 
-from . import queries, reports
+from . import queries, reports, trends
 
-__all__ = ["queries", "reports"]
+__all__ = ["queries", "reports", "trends"]

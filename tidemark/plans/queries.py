@@ -245,8 +245,14 @@ def anl18_platform_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(TOKENS + """, c AS (SELECT platform_id, keyword, count(*) AS n FROM words GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY n DESC, keyword) AS place FROM c),
-  t AS (SELECT *, count(*) OVER (PARTITION BY keyword) AS k FROM p WHERE place <= 1), u AS (SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY place) AS nth FROM t WHERE k = 1) SELECT platform_id, keyword, n FROM u WHERE nth <= 5""")
+  t AS (SELECT *, count(*) OVER (PARTITION BY keyword) AS k FROM p WHERE place <= 10), u AS (SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY place) AS nth FROM t WHERE k = 1) SELECT platform_id, keyword, n FROM u WHERE nth <= 5""")
 def anl19_unique_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return A.unique_topics(listing(spark, sf))
+
+
+@query(TOKENS + """, c AS (SELECT platform_id, keyword, count(*) AS n FROM words GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY n DESC, keyword) AS place FROM c),
+  t AS (SELECT *, count(*) OVER (PARTITION BY keyword) AS k FROM p WHERE place <= 1) SELECT platform_id, keyword, n FROM t WHERE k = 1""")
+def anl19_unique_first_topics(spark: SparkSession, sf: str) -> DataFrame:
     return A.unique_topics(listing(spark, sf), among=1)
 
 
@@ -437,11 +443,11 @@ def join21_overlapping_periods(spark: SparkSession, sf: str) -> DataFrame:
 # ---- set operations and table maintenance
 
 
-@query("""WITH o AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderdate >= '2001-01-01'), s AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem WHERE l_shipdate >= '2001-01-01')
+@query("""WITH o AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), s AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem)
   SELECT date, 'both' AS kind FROM (SELECT * FROM o INTERSECT SELECT * FROM s) UNION ALL SELECT date, 'first' FROM (SELECT * FROM o EXCEPT SELECT * FROM s) UNION ALL SELECT date, 'second' FROM (SELECT * FROM s EXCEPT SELECT * FROM o)""")
 def set04_date_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderdate >= '2001-01-01'").select(F.to_date("o_orderdate").alias("date")).distinct()
-    s = table(spark, sf, "lineitem").where("l_shipdate >= '2001-01-01'").select(F.to_date("l_shipdate").alias("date")).distinct()
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    s = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
     kinds = ((o.intersect(s), "both"), (o.exceptAll(s), "first"), (s.exceptAll(o), "second"))
     first, second, third = (f.withColumn("kind", F.lit(k)) for f, k in kinds)
     return first.union(second).union(third)

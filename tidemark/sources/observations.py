@@ -23,6 +23,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).drop("value")
 
 
+def polled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations and how each platform's poll in each batch went (``polls``); by rule one poll in five fails and has no rows."""
+    obs = observations(spark, sf_dir)
+    failed = (F.col("batch") + F.dayofmonth("date") + F.length("platform_id")) % 5 == 0
+    asked = obs.select("date", "batch").distinct().crossJoin(obs.agg(F.collect_set("platform_id").alias("all")))  # one row
+    asked = asked.select("date", "batch", F.explode("all").alias("platform_id"))
+    return obs.where(~failed), asked.withColumn("status", F.when(failed, "failed").otherwise("success"))
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles on platforms by day out of ``lineitem`` and ``part``."""
     lines = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_linenumber").alias("rank"), "l_partkey")
