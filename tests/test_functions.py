@@ -1,5 +1,6 @@
 """Scalar functions, rules, dates, sources, search, clusters and streams on small cases."""
 
+import datetime as dt
 import difflib
 from datetime import date
 
@@ -128,3 +129,26 @@ def test_stream_replay_equals_batch(spark, sf, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     polls.run_available(polls.tumbling(stream), str(tmp_path / "days"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "days")).count() > 0
+
+
+def test_xml_feeds(spark):
+    rss = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="x"><channel><title>C</title><item><title><![CDATA[A </item> & <b>b</b>]]></title><link>l1</link>
+      <guid isPermaLink="false">g1</guid><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><dc:creator>Me</dc:creator><description>d &amp;amp; e</description></item>
+      <item><title> </title><link>l0</link></item><item><title>T2</title><link>l2</link><dc:date>2024-01-02T03:04:05Z</dc:date></item></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title type="html">A1</title><link rel="self" href="u0"/><link rel="alternate" href="u1"/><id>i1</id>
+      <updated>2024-01-02T03:04:05Z</updated><summary>s</summary><author><name>N</name></author><author><name>M</name></author></entry>
+      <entry><title>A2</title><link href="u2"/><content type="html">&lt;p&gt;c&lt;/p&gt;</content></entry></feed>"""
+    rows = [(1, rss), (2, atom), (3, "not xml"), (4, None), (5, "<rss><channel>"), (6, "")]
+    got = feeds.rss_items(spark.createDataFrame(rows, "source_id int, body string")).orderBy("source_id", "title").collect()
+    time = dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert [(r["source_id"], r["title"], r["url"], r["summary"], r["author"], r["guid"]) for r in got] == [
+        (1, "A & b", "l1", "d & e", "Me", "g1"), (1, "T2", "l2", None, None, "l2"), (2, "A1", "u1", "s", "N, M", "i1"), (2, "A2", "u2", "c", None, "u2"),
+    ]
+    assert [r["published_at"] for r in got] == [time, time, time, None]
+    assert feeds.rss_items(spark.createDataFrame(rows, "source_id int, body string"), most=1).count() == 2
+
+
+def test_numeric_references(spark):
+    some = ["a &#65;&#x1F600; &#8212;", "&#0; &#xD800; &#99999999; &#x110000;", "&#233;&#233;", "none", "", None, "&#39;x&#X41;"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x string").select("i", text.numbers_decoded(F.col("x")).alias("x")).orderBy("i").select("x").collect()]
+    assert got == ["a A😀 —", some[1], "éé", "none", "", None, "'xA"]

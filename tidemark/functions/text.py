@@ -66,9 +66,22 @@ def topic_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(TOPIC_STOP_WORDS)))
 
 
+def _referred(reference: Column) -> Column:
+    """The character of a numeric reference; what is no character stays as it is."""
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(F.regexp_extract(reference, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(reference, "[0-9]+", 0)).cast("long")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")).otherwise(reference)
+
+
+def numbers_decoded(text: Column) -> Column:
+    """Numeric character references decoded."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    return F.when(text.contains("&#"), F.aggregate(found, text, lambda t, r: F.replace(t, r, _referred(r)))).otherwise(text)
+
+
 def plain_html(html: Column) -> Column:
     """Character references decoded, tags dropped, white space collapsed."""
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, html)
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, numbers_decoded(html))
     return collapse(F.regexp_replace(text, "<[^>]+>", ""))
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_html
+
 LIST = "status STRING, items ARRAY<STRUCT<title STRING, url STRING, mobileUrl STRING>>"
 JSON_FEED = (
     "version STRING, items ARRAY<STRUCT<id STRING, title STRING, url STRING, external_url STRING, content_text STRING, content_html STRING, "
     "summary STRING, date_published STRING, date_modified STRING, authors ARRAY<STRUCT<name STRING>>>>"
 )
 
+XML_FEED = (
+    "channel STRUCT<item ARRAY<STRUCT<title STRUCT<_VALUE STRING>, link STRING, guid STRUCT<_VALUE STRING>, pubDate STRING, `dc:date` STRING, "
+    "description STRING, `content:encoded` STRING, author STRING, `dc:creator` STRING>>>, "
+    "entry ARRAY<STRUCT<title STRUCT<_VALUE STRING>, link ARRAY<STRUCT<_href STRING, _rel STRING, _type STRING>>, id STRING, published STRING, "
+    "updated STRING, summary STRUCT<_VALUE STRING>, content STRUCT<_VALUE STRING>, author ARRAY<STRUCT<name STRING>>>>"
+)
+
 
 def list_items(payloads: DataFrame, source: str = "source_id", body: str = "body") -> DataFrame:
     """(source, title, ranks, url, mobile_url): positions count from 1, blank titles are skipped."""
@@ -39,11 +48,38 @@ def json_feed_items(payloads: DataFrame, source: str = "source_id", body: str =
     )
 
 
-def rss_items(payloads: DataFrame, source: str = "source_id", body: str = "body") -> DataFrame:
-    """Entries of RSS 2.0 documents by XPath."""
-    items = F.regexp_extract_all(F.col(body), F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))
-    rows = payloads.select(source, F.explode(items).alias("item"))
-    part = lambda name: F.xpath_string("item", F.lit(f"/item/{name}"))
-    rows = rows.select(source, *(part(x).alias(x) for x in ("title", "link", "pubDate", "description", "author")))
-    published = F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return rows.select(source, "title", F.col("link").alias("url"), published.alias("published_at"), F.col("description").alias("summary"), "author")
+def rss_items(payloads: DataFrame, source: str = "source_id", body: str = "body", most: int = 0) -> DataFrame:
+    """Entries of RSS 2.0 and Atom documents, with fallbacks for link, date, summary and author; blank titles are
+    skipped, ``most`` for each feed if above 0. What is no XML gives no rows."""
+    rows = payloads.select(source, F.from_xml(F.col(body), XML_FEED).alias("p"))
+    empty = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rss = rows.select(source, F.posexplode("p.channel.item").alias("at", "i")).select(
+        source,
+        "at",
+        F.col("i.title._VALUE").alias("title"),
+        empty("i.link").alias("url"),
+        F.coalesce(_day_time(F.col("i.pubDate")), _day_time(F.col("i.`dc:date`"))).alias("published_at"),
+        F.coalesce(empty("i.description"), empty("i.`content:encoded`")).alias("summary"),
+        F.coalesce(empty("i.author"), empty("i.`dc:creator`")).alias("author"),
+        F.coalesce(empty("i.guid._VALUE"), empty("i.link")).alias("guid"),
+    )
+    best = F.filter("i.link", lambda x: F.coalesce(x["_rel"] == "alternate", F.lit(False)) | F.coalesce(x["_type"].startswith("text/html"), F.lit(False)))
+    link = F.coalesce(F.get(best, F.lit(0))["_href"], F.get("i.link", F.lit(0))["_href"])
+    atom = rows.select(source, F.posexplode("p.entry").alias("at", "i")).select(
+        source,
+        "at",
+        F.col("i.title._VALUE").alias("title"),
+        empty(link).alias("url"),
+        F.coalesce(_day_time(F.col("i.published")), _day_time(F.col("i.updated"))).alias("published_at"),
+        F.coalesce(empty("i.summary._VALUE"), empty("i.content._VALUE")).alias("summary"),
+        F.array_join(F.transform("i.author", lambda a: a["name"]), ", ").alias("author"),
+        F.coalesce(empty("i.id"), empty(link)).alias("guid"),
+    )
+    both = rss.unionByName(atom).withColumns({"title": plain_html(F.col("title")), "summary": plain_html(F.col("summary"))}).where("title <> ''")
+    return (both.where(F.col("at") < most) if most > 0 else both).drop("at")
+
+
+def _day_time(text: Column) -> Column:
+    """A time as feeds write it: ``Tue, 02 Jan 2024 03:04:05 +0000`` (or GMT) or ISO 8601."""
+    mail = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, ", ""), "(GMT|UTC|UT)$", "+0000")
+    return F.coalesce(F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.trim(text)))
