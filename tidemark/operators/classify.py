@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
 from .store import best_per_key
 
 REPLY = "ARRAY<STRUCT<id BIGINT, tag_id BIGINT, score STRING, tags ARRAY<STRUCT<tag_id BIGINT, score STRING>>>>"
@@ -51,8 +52,11 @@ def best_tags(replies: DataFrame, items: DataFrame, tags: DataFrame, body: str =
 
 
 def batches(items: DataFrame, by: str, order: str, size: int = 200) -> DataFrame:
-    """Number of the batch of ``size`` rows within each source."""
-    return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    """Number of the batch of ``size`` rows within each source; a large source is numbered by many tasks."""
+    rows = numbered(items, F.asc(by), F.asc(order), name="_place")
+    first = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first"))
+    joined = rows.join(first, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size)).drop("_place", "_by", "_first")
 
 
 def run(items: DataFrame, done: DataFrame, tags: DataFrame, classifier: Callable[[DataFrame, DataFrame], DataFrame], least: float = 0.0) -> DataFrame:

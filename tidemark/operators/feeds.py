@@ -65,9 +65,10 @@ def head_of_feeds(items: DataFrame, most: int, *order: Column) -> DataFrame:
 
 def with_recency(items: DataFrame, *ties: str) -> DataFrame:
     """``recency`` counts from 1, newest first. A URL has the place of its last row; without a URL it is 99."""
-    rows = numbered(items, F.desc_nulls_last("published_at"), *map(F.asc, ties), name="place")
+    keys = items.select(*dict.fromkeys(["url", "published_at", *ties]))
+    rows = numbered(keys, F.desc_nulls_last("published_at"), *map(F.asc, ties), name="place")
     last = rows.where("url <> ''").groupBy("url").agg(F.max("place").alias("recency"))
-    return rows.drop("place").join(last, "url", "left").withColumn("recency", F.coalesce("recency", F.lit(99)))
+    return items.join(last, "url", "left").withColumn("recency", F.coalesce("recency", F.lit(99)))
 
 
 def grouped(items: DataFrame, rules: Rules, fresh_urls: DataFrame, *ties: str) -> DataFrame:
@@ -96,7 +97,11 @@ def stats_titles(items: DataFrame, rules: Rules, fresh_urls: DataFrame, cap: int
     for i, g in enumerate(rules.groups):
         limits = F.when(F.col("position") == i, g.limit).otherwise(limits) if g.limit else limits
     nth = F.row_number().over(Window.partitionBy("position").orderBy("recency", *ties))
-    return rows.withColumn("nth", nth).where((limits <= 0) | (F.col("nth") <= limits))
+    most = [g.limit or cap for g in rules.groups] or [cap]
+    rows = rows.withColumn("nth", nth)
+    if min(most) > 0:  # a literal limit, so that partitions are cut before the shuffle
+        rows = rows.where(F.col("nth") <= max(most))
+    return rows.where((limits <= 0) | (F.col("nth") <= limits))
 
 
 def by_mode(items: DataFrame, day: date, mode: str) -> DataFrame:
