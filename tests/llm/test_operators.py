@@ -242,6 +242,12 @@ def test_substring_dedup_of_phrases_said_over_and_over(spark):
         assert rows_of(op03_substring.substring_dedup(frame)) == brute_substrings(rows)
 
 
+def test_windows_whose_hashes_collide_are_told_apart(spark):
+    rows = [(7, 1, 1, 0, 0), (7, 2, 5, 3, 0), (7, 2, 6, 4, 0), (7, 1, 9, 5, 0), (8, 1, 2, 6, 0)]
+    found = op03_substring._covered(spark.createDataFrame(rows, "window long, check int, doc_id long, place long, run int")).collect()
+    assert {(r["doc_id"], r["place"]) for r in found} == {(6, 4), (9, 5)}
+
+
 def test_decontamination(spark, docs):
     rows, window = texts(), 10
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -21,7 +21,12 @@ Null text has no words. Texts of fewer words than a window lose nothing. Very lo
 are handled whole. Documents with equal ids never cover each other (a tie is no smaller
 id); repeated rows each get the same result. Rows without an id are compared with
 nothing and lose nothing. An empty table gives an empty result. Only the id and text
-columns are read. Windows are compared by 64-bit hashes.
+columns are read. Windows are compared by 96 bits of two independent hashes, texts by 96 bits
+and their length.
+
+Places of one anchor are not joined in pairs: an anchor that many documents share would give
+all pairs of them. Each place is extended by itself instead, and what it extends to meets its
+equals in one sorted exchange, which finds the same repeats.
 """
 
 from __future__ import annotations
@@ -52,6 +57,12 @@ def _anchors(chunk: Chunk, window: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return w.first, anchor, gram_hashes(hashes, window)
 
 
+def _checks(chunk: Chunk, window: int) -> np.ndarray:
+    """Another 32 bits for each window, of other word hashes."""
+    w = words(chunk, SPACE_WORDS)
+    return (gram_hashes(word_hashes(chunk.buf, w.starts, w.ends, family=1), window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _first_in_group(*keys: np.ndarray) -> np.ndarray:
     """Of sorted rows, those that differ from the row before in one of the keys."""
     new = np.zeros(len(keys[0]), dtype=bool)
@@ -131,7 +142,7 @@ ALL = np.int32(-1)
 
 
 def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(window, doc_id, place, run): all windows whose anchor is among the document's repeated ones.
+    """(window, check, doc_id, place, run): all windows whose anchor is among the document's repeated ones.
 
     ``place`` has the word in its lower half and above it 31 bits of the text's hash, which
     tell texts apart that have one id. ``run`` is 0, or for what a smaller id of the chunk
@@ -143,6 +154,7 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(2), SHARD_BYTES):
                 first, anchor, hashes = _anchors(chunk, window, seed)
+                checks = _checks(chunk, window)
                 part = batch.slice(chunk.first, chunk.rows)
                 ids, same = part.column(0).to_numpy(), part.column(1).to_numpy()
                 places, rows = [], []
@@ -153,9 +165,9 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     places.append(at)
                     rows.append(np.full(len(at), i))
                 place, row = np.concatenate(places), np.concatenate(rows)
-                own, doc = hashes[first[row] + place].view(np.int64), ids[row]
-                order = np.lexsort((doc, own))
-                start = np.flatnonzero(_first_in_group(own[order]))
+                own, check, doc = hashes[first[row] + place].view(np.int64), checks[first[row] + place], ids[row]
+                order = np.lexsort((doc, check, own))
+                start = np.flatnonzero(_first_in_group(own[order], check[order]))
                 least = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
                 settled = np.zeros(len(order), dtype=bool)
                 settled[order] = doc[order] > least
@@ -168,22 +180,23 @@ def _extend(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 begin = np.flatnonzero(fresh)
                 length = np.diff(np.append(begin, len(repeats)))
                 told = repeats[begin]
-                by_window = np.lexsort((row, own))
-                new = _first_in_group(own[by_window], row[by_window])
+                by_window = np.lexsort((row, check, own))
+                new = _first_in_group(own[by_window], check[by_window], row[by_window])
                 stands, again = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
                 again[by_window] = ~new
                 stands[by_window] = new & ~np.append(new[1:], True)
                 sent = ~settled & ~again
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([own[sent], doc[told]])), pa.array(np.concatenate([doc[sent], doc[told]])),
+                        pa.array(np.concatenate([own[sent], doc[told]])), pa.array(np.concatenate([check[sent], np.zeros(len(told), np.int32)])),
+                        pa.array(np.concatenate([doc[sent], doc[told]])),
                         pa.array(np.concatenate([packed[sent], packed[told]])),
                         pa.array(np.concatenate([np.where(stands[sent], ALL, np.int32(0)), length.astype(np.int32)])),
                     ],
-                    names=["window", "doc_id", "place", "run"],
+                    names=["window", "check", "doc_id", "place", "run"],
                 )
 
-    return map_arrow(docs.select("doc_id", "same", "text", "anchors"), run, "window long, doc_id long, place long, run int")
+    return map_arrow(docs.select("doc_id", "same", "text", "anchors"), run, "window long, check int, doc_id long, place long, run int")
 
 
 def _covered(windows: DataFrame) -> DataFrame:
@@ -192,24 +205,24 @@ def _covered(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, least_of_last = None, 0
         for batch in batches:
-            own, doc, place, length = (batch.column(i).to_numpy() for i in range(4))
+            own, check, doc, place, length = (batch.column(i).to_numpy() for i in range(5))
             hit = length > 0
             open_ = np.flatnonzero(~hit)
             if len(open_):
-                w, d = own[open_], doc[open_]
-                start = np.flatnonzero(_first_in_group(w))
+                w, c, d = own[open_], check[open_], doc[open_]
+                start = np.flatnonzero(_first_in_group(w, c))
                 least = d[start].copy()
-                if last is not None and w[0] == last:
+                if (w[0], c[0]) == last:
                     least[0] = least_of_last
                 hit[open_] = d > np.repeat(least, np.diff(np.append(start, len(w))))
-                last, least_of_last = w[-1], least[-1]
+                last, least_of_last = (w[-1], c[-1]), least[-1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[hit]), pa.array(place[hit]), pa.array(np.where(length == 0, np.int32(1), length)[hit])], names=["doc_id", "place", "run"]
             )
 
     # Rows of settled runs need not meet: near copies in one chunk would all go to the window they begin with.
     key = F.when(F.col("run") > 0, F.xxhash64("doc_id", "place")).otherwise(F.col("window"))
-    dealt = windows.repartition(key).sortWithinPartitions("window", "doc_id")
+    dealt = windows.repartition(key).sortWithinPartitions("window", "check", "doc_id")
     return map_arrow(dealt, run, "doc_id long, place long, run int")
 
 
