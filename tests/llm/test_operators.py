@@ -726,6 +726,24 @@ def test_longest_match_of_repeated_passages(spark):
     assert longest[4] == 0 and longest[6] == 9
 
 
+def test_secrets_on_the_next_line_and_in_blocks():
+    secret, half = "aB3xK9qLm2Zt7", "Qw8eRt5yUi"
+    for text, want in (
+        (f'password = (\n    "{secret}"\n)', [secret]),
+        (f'password = \\\n  "{secret}"', [secret]),
+        (f'auth_key:\n  "{secret}"\nnext: 1', [secret]),
+        (f'my_secret = ("{secret}"\n  "{half}")', [secret, half]),
+        (f'my_secret = """\n{secret}\n"""', [secret]),
+        (f"my_secret = '''{secret}'''", [secret]),
+        (f'my_secret = "{half}" +\n  "{secret}"', [half, secret]),
+        (f'my_secret =\ncolour = "{secret}"', []),
+        (f'my_secret = "short"\n"{secret}"', []),
+        ('my_secret = """never closed', []),
+        ("my_secret = (", []),
+    ):
+        assert [text[s:e] for s, e in sorted(op01_secrets.named_literals(text))] == want, text
+
+
 def test_named_secrets_of_any_name_and_length():
     for name in ("signing_salt", "encryption_iv", "private_value", "api_access", "pass_word", "app." * 40 + "password"):
         text = f'{name} = "aB3xK9qLm2Zt7"'

@@ -2,7 +2,8 @@
 
 Source and configuration lines are read as pairs of a name and a literal (``x = "..."``,
 ``"x": '...'``, ``x := ...``, ``x => ...``, ``export X=...``), literals joined by ``+``
-count as one, and a name used as a value stands for the constant it was given earlier.
+count as one, and a name used as a value stands for the constant it was given earlier. A literal
+may stand on the next line, go on over lines within brackets, or be a block in triple quotes.
 A literal scores by the sensitive words in its target's name and by its own look;
 those that score enough are spans of kind ``named``. The three fixed patterns
 (``assign``, ``access``, ``hex``) are always reported beside them.
@@ -71,22 +72,12 @@ def named_literals(text: str, least: int = 5) -> set[tuple[int, int]]:
     """Spans of the literals whose target's name and own look score ``least`` together."""
     constants: dict[str, list[tuple[int, int, str]]] = {}
     found: set[tuple[int, int]] = set()
+    lines = text.split("\n")
     at = 0
-    for line in text.split("\n"):
+    for number, line in enumerate(lines):
         if "=" in line or ":" in line:
             for pair in _PAIR.finditer(line):
-                name, to, pieces = pair[2], pair.end(), []
-                while value := _VALUE.match(line, to):
-                    kind = value.lastindex or 0
-                    if kind == 3 and (known := constants.get(value[3])):
-                        pieces += known
-                    elif kind in (1, 2, 4) or pair[1] == "" and not value[3].islower() or any(map(str.isdigit, value[3])):
-                        s, e = value.span(kind)
-                        pieces.append((at + s, at + e, value[kind]))
-                    to = value.end()
-                    if not (plus := _PLUS.match(line, to)):
-                        break
-                    to = plus.end()
+                name, pieces = pair[2], _pieces(text, lines, number, at, pair, constants)
                 if not pieces:
                     continue
                 constants[name] = list(dict.fromkeys(pieces))  # each once, or names that double would grow without end
@@ -97,6 +88,43 @@ def named_literals(text: str, least: int = 5) -> set[tuple[int, int]]:
     return found
 
 
+def _pieces(text: str, lines: list[str], number: int, at: int, pair: re.Match[str], constants: dict[str, list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
+    """(start, end, literal) of what a name is given: literals, constants, or their sum; a literal may
+    stand on the next line, go on there within brackets, or be a block in triple quotes."""
+    line, to, pieces, bracket, plus = lines[number], pair.end(), [], False, None
+    while True:
+        if (rest := line[to:].strip()) in ("", "(", "\\"):
+            bracket |= rest == "("
+            follows = lines[number + 1].lstrip() if number + 1 < len(lines) else ""
+            if follows[:1] not in ("'", '"') or not follows or (pieces and not (bracket or plus)):
+                return pieces
+            at += len(line) + 1
+            number += 1
+            line, to = lines[number], len(lines[number]) - len(follows)
+        elif line.startswith("(", to):
+            bracket, to = True, to + 1 + len(line[to + 1 :]) - len(line[to + 1 :].lstrip())
+        mark = line[to : to + 3]
+        if mark in ('"""', "'''"):
+            end = text.find(mark, at + to + 3)
+            body = text[at + to + 3 : max(end, 0)]
+            start = at + to + 3 + len(body) - len(body.lstrip())
+            return [*pieces, (start, start + len(body.strip()), body.strip())] if body.strip() else pieces
+        value = _VALUE.match(line, to)
+        if not value:
+            return pieces
+        kind = value.lastindex or 0
+        if kind == 3 and (known := constants.get(value[3])):
+            pieces += known
+        elif kind in (1, 2, 4) or pair[1] == "" and not value[3].islower() or any(map(str.isdigit, value[3])):
+            s, e = value.span(kind)
+            pieces.append((at + s, at + e, value[kind]))
+        to = value.end()
+        if plus := _PLUS.match(line, to):
+            to = plus.end()
+        elif not (bracket and line[to:].strip() == ""):
+            return pieces
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text, as (start, kind, end) in code points."""
     if not text:
