@@ -321,3 +321,27 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, *, id_
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+#: The contract in SQL, for ids that stand once: all windows of all documents meet as text.
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_extract(w, i) AS word, i, n
+  FROM (SELECT doc_id, w, len(w) AS n, unnest(generate_series(1, len(w))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents))),
+windows AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS phrase
+  FROM words QUALIFY i + 12 <= n),
+firsts AS (SELECT phrase, min(doc_id) AS first_doc FROM windows GROUP BY phrase),
+repeats AS (SELECT doc_id, i FROM windows JOIN firsts USING (phrase) WHERE first_doc < doc_id),
+marked AS (
+  SELECT w.doc_id, w.i, w.word, max(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS last_repeat
+  FROM words w LEFT JOIN repeats r ON r.doc_id = w.doc_id AND r.i = w.i),
+judged AS (SELECT doc_id, i, word, coalesce(i - last_repeat <= 12, false) AS gone FROM marked),
+totals AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN totals t USING (doc_id)
+"""

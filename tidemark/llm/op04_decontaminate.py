@@ -281,3 +281,37 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, b
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The contract and the longest match in SQL, for ids that stand once: equal words of a document and an
+#: item at one distance from each other form runs; those of a window or more are hits.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark),
+lists AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+words AS (
+  SELECT side, id, n, i, list_extract(w, i) AS word FROM (SELECT side, id, w, len(w) AS n, unnest(generate_series(1, len(w))) AS i FROM lists)),
+same AS (
+  SELECT d.id AS doc, b.id AS item, d.i, d.i - b.i AS shift, least(b.n, 10) AS needed
+  FROM words d JOIN words b ON d.word = b.word AND d.side = 'd' AND b.side = 'b'),
+steps AS (SELECT *, i - row_number() OVER (PARTITION BY doc, item, shift ORDER BY i) AS run FROM same),
+runs AS (
+  SELECT doc, item, min(i) AS start, count(*) AS length, any_value(needed) AS needed
+  FROM steps GROUP BY doc, item, shift, run),
+longest AS (SELECT doc, max(length) AS longest_match FROM runs GROUP BY doc),
+hits AS (SELECT doc, item, start, length FROM runs WHERE length >= needed),
+places AS (SELECT doc, count(DISTINCT p) AS n_hit FROM (SELECT doc, unnest(generate_series(start, start + length - 1)) AS p FROM hits) GROUP BY doc),
+items AS (
+  SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named
+  FROM (SELECT DISTINCT doc, item FROM hits) GROUP BY doc)
+SELECT d.doc_id, (SELECT len(w) FROM lists l WHERE l.side = 'd' AND l.id = CAST(d.doc_id AS VARCHAR)) AS n_words,
+       coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM documents d
+LEFT JOIN places p ON p.doc = CAST(d.doc_id AS VARCHAR)
+LEFT JOIN items t ON t.doc = CAST(d.doc_id AS VARCHAR)
+LEFT JOIN longest g ON g.doc = CAST(d.doc_id AS VARCHAR)
+"""

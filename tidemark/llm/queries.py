@@ -6,11 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_licenses
+from . import op03_substring, op04_decontaminate, op10_licenses
 from .op01_secrets import op1_secret_scan
 from .op02_pii import op2_pii
-from .op03_substring import op3_substring_dedup
-from .op04_decontaminate import op4_decontaminate
 from .op05_quality import op5_line_quality
 from .op06_html import op6_html_text
 from .op07_token_ids import op7_token_ids
@@ -22,8 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan,
         op2_pii,
-        op3_substring_dedup,
-        op4_decontaminate,
+        op03_substring.op3_substring_dedup,
+        op04_decontaminate.op4_decontaminate,
         op5_line_quality,
         op6_html_text,
         op7_token_ids,
@@ -33,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": op10_licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": op03_substring.ORACLE_SQL,
+    "op4_decontaminate": op04_decontaminate.ORACLE_SQL,
+    "op10_license_scan": op10_licenses.oracle(),
+}
