@@ -34,6 +34,7 @@ from tidemark.llm import (
     textbytes,
     tokens,
 )
+from tidemark.llm.components import connected_components, spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -531,6 +532,20 @@ def test_links_of_close_fingerprints(spark, bucket):
     assert {i: least[find(p)] for i, p in prints.items()} == brute_components(prints)
 
 
+def test_components_of_stars_and_chains(spark):
+    """A hub with many neighbours, a long chain, two stars with a bridge: each node gets its component's least node."""
+    edges = [(5000, i) for i in range(4000)] + [(i, i + 1) for i in range(6000, 6300)]
+    edges += [(7000, i) for i in range(7001, 7200)] + [(7500, i) for i in range(7501, 7700)] + [(7199, 7699)]
+    want = {i: 0 for i in [*range(4000), 5000]} | {i: 6000 for i in range(6000, 6301)}
+    want |= {i: 7000 for i in [*range(7000, 7200), *range(7500, 7700)]}
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == want
+    rows = spark.createDataFrame([(1, k) for k in range(100)] + [(2, 0), (None, 1)], "key long, k int")
+    few = spark.createDataFrame([(1, "one"), (3, "three")], "key long, name string")
+    assert spread_join(rows, few, "key").count() == 100
+    assert spread_join(rows, few, "key", "left").where("name IS NULL").count() == 2
+
+
 def test_licenses(spark, sf):
     frame = op10_licenses.licenses(spark.createDataFrame([
         (1, "Licensed under the Apache License, Version 2.0."), (2, None), (3, ""), (4, "x. Released under the MIT License. y"),

@@ -7,13 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+PARTS = 8
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` with ``few``, which has each key once, where one key may hold a large share of ``rows``.
+
+    Rows are dealt by key and by a hash of their columns over ``PARTS`` parts; ``few`` is sent to each.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int"))
+    sent = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(sent, [key, "part"], how).drop("part")
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge; the component is its least node.
 
     Each round a node takes the least label around it, and then its label's label
     (pointer jumping), so the rounds grow with the logarithm of a component's width.
-    Labels are aggregated before they meet, and each round is checkpointed.
+    Labels are aggregated before they meet, and each round is checkpointed. A node with very
+    many edges, or a component with very many nodes, is dealt over several tasks.
     """
     both = cut(
         edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
@@ -22,12 +35,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     labels = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
-        around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(around, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        target = step.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        jumped = cut(
-            step.join(target, "component", "left").select("node", F.least("component", F.coalesce("jump", "component")).alias("component"), "was")
-        )
+        around = spread_join(both, labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        step = cut(labels.join(around, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was")))
+        # Each label once, with its own label; only then do the nodes meet it.
+        used = step.select("component").distinct()
+        jumps = used.join(step.select(F.col("node").alias("component"), F.col("component").alias("jump")), "component")
+        jumped = spread_join(step, jumps, "component", "left")
+        jumped = cut(jumped.select("node", F.least("component", F.coalesce("jump", "component")).alias("component"), "was"))
         labels = jumped.select("node", "component")
         if jumped.where(F.col("component") != F.col("was")).isEmpty():
             return labels

@@ -12,7 +12,8 @@ Keys that more than ``bucket`` fingerprints share are not paired up. There, fing
 meet at the exact points of radius one around them instead: two points' balls meet if
 and only if they are at most two bits apart, and all that share a point are linked with
 each other, so linking each to the least of them is enough. That is 65 rows for each
-fingerprint, however many share a key.
+fingerprint, however many share a key. Joins on a key or a component that many share are
+dealt over several tasks.
 
 Null text has no words; documents without words have fingerprint zero and are linked
 like any other. Ties (bits set in exactly half of the shingles) give 0. Repeated rows
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, written
-from .components import connected_components
+from .components import connected_components, spread_join
 from .near_copies import keep_one
 from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, words
 
@@ -178,7 +179,7 @@ def links(nodes: DataFrame, bits: int = 2, bucket: int = 32) -> DataFrame:
         raise ValueError("the segments and keys are laid out for two bits")
     keys = fuzzy_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(keys.join(shared, "key"))
+    met = cut(spread_join(keys, shared, "key"))
     few = met.where(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits
     later = lambda x, i: F.filter(F.col("fps"), lambda y, j: (j > i) & close(x, y))
@@ -200,7 +201,7 @@ def components(docs: DataFrame, *, bucket: int = 32, id_col: str = "doc_id", tex
     labels = connected_components(links(nodes, bucket=bucket))
     labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = cut(labelled.join(least, "component").select("fp", "component_id"))
+    by_print = cut(spread_join(labelled, least, "component").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
