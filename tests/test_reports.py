@@ -27,6 +27,76 @@ def test_cut_bytes(spark, most):
     assert column(spark, TEXTS, lambda c: D.cut_lines(c, most)) == whole
 
 
+def _whole_lines(text, most):
+    if len(text.encode()) <= most:
+        return text
+    rough = text.encode()[: max(most, 0)].decode(errors="ignore")
+    return rough[: rough.rfind("\n")] if rough.rfind("\n") > 0 else rough
+
+
+def _body_and_footer(text):
+    for mark in ("\n\n\n> ", "\n\n> ", "\n\n<font", "\n\n_", "\n\n更新时间"):
+        if (at := text.rfind(mark)) > 0:
+            return text[:at], text[at:]
+    return text, ""
+
+
+def _footer_kept(text, most):
+    body, footer = _body_and_footer(text)
+    room = most - len(footer.encode())
+    if len(text.encode()) <= most or not footer or room <= 0:
+        return _whole_lines(text, most)
+    return _whole_lines(body, room) + footer
+
+
+def _pack(lines, most):
+    done, now = [], ""
+    for line in lines:
+        if len((now + line + "\n").encode()) > most and now.strip():
+            done.append(now)
+            now = ""
+        now += line + "\n"
+    return done + [now] * bool(now.strip())
+
+
+def _numbered(messages, mark, most):
+    room, parts = most - len(f"{mark}[第 99/99 批次]{mark}\n\n".encode()), []
+    for m in messages:
+        body, footer = _body_and_footer(m)
+        left = room - len(footer.encode())
+        if len(m.encode()) <= room:
+            parts.append(m)
+        elif left <= 0:
+            parts.append(_whole_lines(m, room))
+        else:
+            parts += [p + footer for p in _pack(body.split("\n"), left)] or [m]
+    if len(messages) <= 1:
+        return messages
+    heads = [f"{mark}[第 {k}/{len(parts)} 批次]{mark}\n\n" for k in range(1, len(parts) + 1)]
+    return parts if len(parts) <= 1 else [h + _footer_kept(p, most - len(h.encode())) for h, p in zip(heads, parts, strict=True)]
+
+
+def _messages(dice):
+    ends = ["", "\n\n> now", "\n\n\n> now", "\n\n_x_\n\n> y", "\n\n更新时间: 1", "\n\n> a\n\n> b"]
+    lines = ["ab é🔺 "[: dice.randint(0, 6)] * dice.randint(0, 8) for _ in range(dice.randint(0, 9))]
+    return "\n".join(lines) + dice.choice(ends)
+
+
+@pytest.mark.parametrize("most", [0, 5, 12, 40, 90])
+def test_cut_before_footer(spark, most):
+    dice = random.Random(most)
+    texts = [_messages(dice) for _ in range(80)] + TEXTS + ["\n\n> only"]
+    assert column(spark, texts, lambda c: D.cut_before_footer(c, most)) == [_footer_kept(t, most) for t in texts]
+
+
+@pytest.mark.parametrize(("channel", "mark"), [("slack", "*"), ("bark", ""), ("feishu", "**")])
+def test_numbered_messages(spark, channel, mark):
+    dice = random.Random(5)
+    reports = [[_messages(dice) for _ in range(dice.randint(0, 4))] for _ in range(80)]
+    got = column(spark, reports, lambda c: D.numbered_messages(c, channel, 60), "array<string>")
+    assert got == [_numbered(r, mark, 60) for r in reports]
+
+
 def test_packed_lines(spark):
     dice = random.Random(3)
     reports = [["ab é🔺"[: dice.randint(0, 5)] * dice.randint(0, 9) for _ in range(dice.randint(0, 12))] for _ in range(60)]

@@ -58,21 +58,85 @@ def percent(share: Column, signed: bool = False) -> Column:
     return F.format_string("%+.1f%%" if signed else "%.1f%%", share)
 
 
-def cut_bytes(text: Column, most: int) -> Column:
+#: What a message's footer begins with, in order of choice.
+FOOTERS = ("\n\n\n> ", "\n\n> ", "\n\n<font", "\n\n_", "\n\n更新时间")
+#: What surrounds the number of a message, by channel.
+NUMBER_MARKS = {"telegram": ("<b>", "</b>"), "slack": ("*", "*"), "wework_text": ("", ""), "bark": ("", "")}
+
+
+def _let(value: Column, body) -> Column:
+    """The value under a name, so that it stands in the plan once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def cut_bytes(text: Column, most: int | Column) -> Column:
     """The longest start of the text that has ``most`` bytes of UTF-8 or fewer."""
-    raw = text.cast("binary")
-    tries = [F.try_validate_utf8(F.substring(raw, 1, max(most - i, 0)).cast("string")) for i in range(4)]
+    raw, most = text.cast("binary"), F.lit(most)
+    tries = [F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - i, F.lit(0))).cast("string")) for i in range(4)]
     return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*tries, F.lit("")))
 
 
-def cut_lines(text: Column, most: int) -> Column:
+def cut_lines(text: Column, most: int | Column) -> Column:
     """As ``cut_bytes``, back to the last whole line if there is one."""
     rough = cut_bytes(text, most)
     whole = F.substring(rough, F.lit(1), F.length(rough) - F.length(F.substring_index(rough, "\n", -1)) - 1)
     return F.when(F.octet_length(text) <= most, text).when(F.length(whole) > 0, whole).otherwise(rough)
 
 
-def packed_lines(lines: Column, most: int) -> Column:
+def footer_of(text: Column) -> Column:
+    """The end of a message from the last place where a footer begins; empty if none does."""
+    found = []
+    for mark in FOOTERS:
+        rest = F.length(F.substring_index(text, mark, -1)) + len(mark)
+        found.append(F.when(text.contains(mark) & (rest < F.length(text)), F.right(text, rest)))
+    return F.coalesce(*found, F.lit(""))
+
+
+def _without_end(text: Column, end: Column) -> Column:
+    return F.left(text, F.length(text) - F.length(end))
+
+
+def cut_before_footer(text: Column, most: int | Column) -> Column:
+    """As ``cut_lines``, but the footer stays whole where it fits."""
+
+    def cut(footer: Column) -> Column:
+        room = F.lit(most) - F.octet_length(footer)
+        return F.when((footer == "") | (room <= 0), cut_lines(text, most)).otherwise(F.concat(cut_lines(_without_end(text, footer), room), footer))
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(_let(footer_of(text), cut))
+
+
+def _number(channel: str, nth: Column, total: Column) -> Column:
+    start, end = NUMBER_MARKS.get(channel, ("**", "**"))
+    return F.format_string(f"{start}[第 %d/%d 批次]{end}\n\n", nth, total)
+
+
+def numbered_messages(messages: Column, channel: str, most: int) -> Column:
+    """Several messages with their number and how many they are in front, each in ``most`` bytes.
+
+    One that is too long is taken apart between lines, and each part gets the footer; only a line that is
+    too long by itself is cut. A single message has no number."""
+    reserve = len("".join(NUMBER_MARKS.get(channel, ("**", "**"))).encode()) + len("[第 99/99 批次]\n\n".encode())
+    room = most - reserve
+
+    def apart(message: Column) -> Column:
+        def parts(footer: Column) -> Column:
+            left = F.lit(room) - F.octet_length(footer)
+            own = F.transform(packed_lines(F.split(_without_end(message, footer), "\n"), left), lambda part: F.concat(part, footer))
+            return F.when(left <= 0, F.array(cut_lines(message, room))).when(F.size(own) > 0, own).otherwise(F.array(message))
+
+        return F.when(F.octet_length(message) > room, _let(footer_of(message), parts)).otherwise(F.array(message))
+
+    def number(all_: Column) -> Column:
+        def one(message: Column, i: Column) -> Column:
+            return _let(_number(channel, i + 1, F.size(all_)), lambda h: F.concat(h, cut_before_footer(message, F.lit(most) - F.octet_length(h))))
+
+        return F.when(F.size(all_) <= 1, all_).otherwise(F.transform(all_, one))
+
+    return F.when(F.size(messages) <= 1, messages).otherwise(_let(F.flatten(F.transform(messages, apart)), number))
+
+
+def packed_lines(lines: Column, most: int | Column) -> Column:
     """Lines in order as messages of up to ``most`` bytes each, a line end after every line.
 
     A line that alone is longer has a message of its own. The lines of one report are one array."""

@@ -237,3 +237,11 @@ def str18_packed_messages(spark: SparkSession, sf: str) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.concat_ws(": ", t["role"], t["text"]))
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("lines"))
     return rows.select("conv_id", F.posexplode(D.packed_lines(F.col("lines"), 400)).alias("nth", "message"))
+
+
+@query()
+def str09_numbered_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation as a numbered series of messages of up to 300 bytes, taken apart between lines, each with the footer."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.concat(t["text"], F.lit("\n\n> end")))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    return rows.select("conv_id", F.posexplode(D.numbered_messages(F.col("messages"), "slack", 300)).alias("nth", "message"))
