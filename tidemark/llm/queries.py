@@ -14,6 +14,9 @@ from .op06_html import op6_html_text
 from .op07_token_ids import op7_token_ids
 from .op08_simhash import op8_simhash
 from .op09_packing import op9_best_fit_packing
+from .op11_language import op11_language
+from .op12_periodic_runs import op12_periodic_runs
+from .op13_spelling import op13_spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_best_fit_packing,
         op10_licenses.op10_license_scan,
+        op11_language,
+        op12_periodic_runs,
+        op13_spelling_variants,
     )
 }
 
