@@ -23,6 +23,20 @@ def off_list_rows(obs: DataFrame, polls: DataFrame) -> DataFrame:
     return gone.withColumn("rank", F.lit(0))
 
 
+def poll_log(obs: DataFrame, polls: DataFrame) -> DataFrame:
+    """What each poll brought: rows, new and known items of the day, changed titles (``title``) and items that left the list."""
+    order = Window.partitionBy(*KEY).orderBy("batch")
+    rows = obs.select(*KEY, "batch", "title", F.lag("title").over(order).alias("old"), F.row_number().over(order).alias("nth"))
+    key = ["date", "platform_id", "batch"]
+    brought = rows.groupBy(*key).agg(
+        F.count("*").alias("n"), F.count_if(F.col("nth") == 1).alias("new"), F.count_if(F.col("nth") > 1).alias("updated"),
+        F.count_if(F.col("old") != F.col("title")).alias("title_changed"),
+    )
+    left = off_list_rows(obs, polls).groupBy(*key).agg(F.count("*").alias("off_list"))
+    counts = ["n", "new", "updated", "title_changed", "off_list"]
+    return polls.join(brought, key, "left").join(left, key, "left").select(*key, "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+
+
 def timeline(obs: DataFrame, polls: DataFrame) -> DataFrame:
     """Each item's steps in time order, NULL where it was off the list; misses after its last sight are left out."""
     rows = obs.select(*KEY, "batch", "rank").unionByName(off_list_rows(obs, polls))

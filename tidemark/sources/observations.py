@@ -23,6 +23,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).drop("value")
 
 
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with a title that changes now and then: it is made of the number that the item's best event carries."""
+    events = table(spark, sf_dir, "events")
+    best = F.max_by(F.get_json_object("props", "$.k"), F.struct("value", "event_id"))
+    key = [F.to_date("ts").alias("date"), F.floor(F.hour("ts") / 6).cast("int").alias("batch"), F.col("event_type").alias("platform_id"), F.col("user_id").alias("item")]
+    titles = events.groupBy(*key).agg(F.concat(F.lit("title "), (best.cast("long") % 3).cast("string")).alias("title"))
+    return observations(spark, sf_dir).join(titles, ["date", "batch", "platform_id", "item"])
+
+
 def polled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Observations and how each platform's poll in each batch went (``polls``); by rule one poll in five fails and has no rows."""
     obs = observations(spark, sf_dir)
