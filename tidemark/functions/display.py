@@ -152,6 +152,91 @@ def packed_lines(lines: Column, most: int | Column) -> Column:
     return F.aggregate(lines, start, add, lambda s: F.when(said(s["open"]), F.array_append(s["done"], s["open"])).otherwise(s["done"]))
 
 
+def report_units(sections: Column) -> Column:
+    """What a report is packed by: sections (header, gap, between, groups (heading, items)) as an array of (add, fresh).
+
+    ``add`` is put behind an open message; if it doesn't fit, ``fresh`` begins the next one (NULL: it is left out). A heading
+    and its first item are one unit, and where an item begins a message its section's header and heading are said again.
+    ``gap`` stands before a section other than the first, ``between`` between two groups."""
+    unit = lambda add, fresh: F.struct(add.alias("add"), fresh.alias("fresh"))
+    none = F.lit(None).cast("string")
+
+    def of_group(section: Column, group: Column, nth: Column) -> Column:
+        said = F.concat(section["header"], group["heading"])
+        items = F.transform(group["items"], lambda x, i: unit(F.when(i == 0, F.concat(group["heading"], x)).otherwise(x), F.concat(said, x)))
+        bare = F.array(unit(group["heading"], said))
+        whole = F.when(F.size(items) > 0, items).otherwise(bare)
+        return F.when(nth == 0, whole).otherwise(F.concat(F.array(unit(section["between"], none)), whole))
+
+    def of_section(section: Column, nth: Column) -> Column:
+        head = F.array(unit(F.when(nth == 0, section["header"]).otherwise(F.concat(section["gap"], section["header"])), section["header"]))
+        return F.concat(head, F.flatten(F.transform(section["groups"], lambda g, i: of_group(section, g, i))))
+
+    return F.flatten(F.transform(sections, of_section))
+
+
+def _said(text: Column) -> Column:
+    return text.rlike(r"(?U)\S")
+
+
+def _line_messages(content: Column, header: Column, footer: Column, most: int) -> Column:
+    """A message that is too long, taken apart between lines: each part but the first has the header, each the footer."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(s: Column, line: Column) -> Column:
+        longer = F.concat(s["open"], line, F.lit("\n"))
+        full = (F.octet_length(longer) + F.octet_length(footer) > most) & _said(s["open"])
+        done = F.when(full, F.array_append(s["done"], F.concat(s["open"], footer))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(full, F.concat(header, line, F.lit("\n"))).otherwise(longer).alias("open"))
+
+    last = lambda s: F.when(_said(s["open"]), F.array_append(s["done"], F.concat(s["open"], footer))).otherwise(s["done"])
+    return F.aggregate(F.split(content, "\n"), start, add, last)
+
+
+def report_messages(units: Column, header: Column, footer: Column, most: int) -> Column:
+    """Units as messages that have the header, the footer and fewer than ``most`` bytes. No unit is lost: what is too long by
+    itself goes over several messages, between its lines (these may have ``most`` bytes; a longer line stays whole)."""
+    room = lambda text: F.octet_length(text) + F.octet_length(footer)
+    no_messages = F.array().cast("array<string>")
+
+    def closed(text: Column) -> Column:
+        whole = F.concat(text, footer)
+
+        def parts(found: Column) -> Column:
+            return F.when(F.size(found) > 0, found).otherwise(F.array(cut_lines(whole, most)))
+
+        return F.when(room(text) <= most, F.array(whole)).otherwise(_let(_line_messages(text, header, footer, most), parts))
+
+    def opened(text: Column) -> Column:
+        """(done, open) of a new message."""
+
+        def parts(found: Column) -> Column:
+            many = F.size(found) > 1
+            last = F.element_at(found, -1)
+            return F.struct(
+                F.when(many, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(no_messages).alias("done"),
+                F.when(many, F.left(last, F.length(last) - F.length(footer))).otherwise(text).alias("open"),
+            )
+
+        fits = F.struct(no_messages.alias("done"), text.alias("open"))
+        long = _let(F.when(room(text) > most, _line_messages(text, header, footer, most)).otherwise(no_messages), parts)
+        return F.when(room(text) <= most, fits).otherwise(long)
+
+    def add(s: Column, unit: Column) -> Column:
+        longer = F.concat(s["open"], unit["add"])
+        before = F.when(s["some"], F.concat(s["done"], closed(s["open"]))).otherwise(s["done"])
+
+        def begun(new: Column) -> Column:
+            return F.struct(F.concat(before, new["done"]).alias("done"), new["open"].alias("open"), F.lit(True).alias("some"))
+
+        said = F.struct(s["done"].alias("done"), longer.alias("open"), F.lit(True).alias("some"))
+        fresh = _let(opened(F.concat(header, F.coalesce(unit["fresh"], F.lit("")))), begun)
+        return F.when(room(longer) < most, said).when(unit["fresh"].isNull(), s).otherwise(fresh)
+
+    start = F.struct(no_messages.alias("done"), header.alias("open"), F.lit(False).alias("some"))
+    return F.aggregate(units, start, add, lambda s: F.when(s["some"], F.concat(s["done"], closed(s["open"]))).otherwise(s["done"]))
+
+
 def numbered_reply(reply: Column, expected: Column) -> Column:
     """The texts of a reply of ``[n] text`` entries in the order of n, ``expected`` of them.
 

@@ -245,3 +245,31 @@ def str09_numbered_messages(spark: SparkSession, sf: str) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.concat(t["text"], F.lit("\n\n> end")))
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
     return rows.select("conv_id", F.posexplode(D.numbered_messages(F.col("messages"), "slack", 300)).alias("nth", "message"))
+
+
+_HEAD, _FOOT, _MOST = "Report\n\n", "\n\n> end", 300
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, 'Turns ' || (turn // 2 * 2) || '\n' AS heading, '- ' || trim(regexp_replace(left(coalesce(text, ''), 60), '\\s+', ' ', 'g')) || '\n' AS item,
+    dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS s, dense_rank() OVER (PARTITION BY conv_id, role ORDER BY turn // 2) AS g, row_number() OVER (PARTITION BY conv_id, role, turn // 2 ORDER BY turn) AS j FROM conversations),
+  u AS (SELECT DISTINCT conv_id, s, 0 AS g, 0 AS j, CASE WHEN s > 1 THEN '\n---\n' ELSE '' END || '# ' || role || '\n' AS say, '# ' || role || '\n' AS fresh FROM t
+    UNION ALL SELECT DISTINCT conv_id, s, g, 0, '\n', NULL FROM t WHERE g > 1
+    UNION ALL SELECT conv_id, s, g, j, CASE WHEN j = 1 THEN heading ELSE '' END || item, '# ' || role || '\n' || heading || item FROM t),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY s, g, j) AS i, count(*) OVER (PARTITION BY conv_id) AS last FROM u),
+  f AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '{_HEAD}' AS open, false AS said, NULL::VARCHAR AS message, 0 AS nth FROM t
+    UNION ALL SELECT f.conv_id, n.i, CASE WHEN fits THEN open || say WHEN fresh IS NULL THEN open ELSE '{_HEAD}' || fresh END, fits OR said OR fresh IS NOT NULL,
+      CASE WHEN NOT fits AND fresh IS NOT NULL AND said THEN open || '{_FOOT}' END, CASE WHEN NOT fits AND fresh IS NOT NULL AND said THEN nth + 1 ELSE nth END
+    FROM f JOIN n ON n.conv_id = f.conv_id AND n.i = f.i + 1, LATERAL (SELECT strlen(open) + strlen(say) + {len(_FOOT)} < {_MOST} AS fits))
+  SELECT conv_id, (nth - 1)::INT AS nth, message FROM f WHERE message IS NOT NULL
+  UNION ALL SELECT f.conv_id, nth, open || '{_FOOT}' FROM f JOIN n ON n.conv_id = f.conv_id AND n.i = f.i AND n.i = n.last""")
+def str18_report_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as reports of a section for each role and a group for each two turns, in messages of fewer than 300 bytes."""
+    item = F.trim(F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), r"\s+", " "))
+    turns = table(spark, sf, "conversations").select("conv_id", "role", (F.floor(F.col("turn") / 2) * 2).alias("block"), F.struct("turn", F.concat(F.lit("- "), item, F.lit("\n")).alias("item")).alias("x"))
+    groups = turns.groupBy("conv_id", "role", "block").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items"))
+    group = F.struct("block", F.concat(F.lit("Turns "), F.col("block").cast("string"), F.lit("\n")).alias("heading"), "items")
+    sections = groups.groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    section = F.struct("role", F.concat(F.lit("# "), "role", F.lit("\n")).alias("header"), F.lit("\n---\n").alias("gap"), F.lit("\n").alias("between"), "groups")
+    reports = sections.groupBy("conv_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    messages = D.report_messages(D.report_units(F.col("sections")), F.lit(_HEAD), F.lit(_FOOT), _MOST)
+    return reports.select("conv_id", F.posexplode(messages).alias("nth", "message"))
