@@ -188,3 +188,23 @@ def newest_of_url(items: DataFrame, url: str, day: str, *ties: str) -> DataFrame
     """One row for each URL: that of the newest day."""
     order = Window.partitionBy(url).orderBy(F.desc(day), *ties)
     return items.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+def with_new_flag(growing: DataFrame) -> DataFrame:
+    """Growth of what had nothing before is no number: it is NULL, and ``is_new`` says so."""
+    return growing.withColumn("is_new", F.col("before") == 0)
+
+
+def active_dates(listing: DataFrame, topics: list[str], start: date, end: date) -> DataFrame:
+    """First and last day with mentions of each topic, and how many days have any; a topic without mentions has none."""
+    named = F.array(*(F.when(contains(F.col("title"), t), F.lit(t)) for t in topics))
+    rows = listing.where(F.col("date").between(F.lit(start), F.lit(end))).select("date", F.explode(named).alias("topic"))
+    days = rows.groupBy("topic").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("date").alias("days"))
+    wanted = listing.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, topics))).alias("topic"))
+    return wanted.join(days, "topic", "left").withColumn("days", F.coalesce("days", F.lit(0)))
+
+
+def merged_days(daily: DataFrame, key: list[str]) -> DataFrame:
+    """Rank lists of several days (``date``, ``ranks``) as one, in the order of the days."""
+    lists = F.array_sort(F.collect_list(F.struct("date", "ranks")))
+    return daily.groupBy(*key).agg(F.flatten(F.transform(lists, lambda x: x["ranks"])).alias("ranks"), F.count("*").alias("days"))

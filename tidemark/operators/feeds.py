@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import fresh
 from ..functions.rules import Rules
 from .ranking import numbered
 from .search import title_or_summary
@@ -25,6 +26,13 @@ def within_days(items: DataFrame, as_of: date, days: int) -> DataFrame:
     return items.where(F.col("date").between(F.date_sub(F.lit(as_of), days - 1), F.lit(as_of)))
 
 
+def within_limits(items: DataFrame, limits: DataFrame, as_of: Column, default: int) -> DataFrame:
+    """Items that their feed's own limit of days lets through: ``limits`` has one row (feed_id, most_days) for some feeds,
+    others have the default. 0 or less, or no date of publication, lets everything through."""
+    known = items.join(limits.select("feed_id", F.col("most_days").alias("_most")), "feed_id", "left")
+    return known.where(fresh(F.col("published_at"), as_of, F.coalesce("_most", F.lit(default)))).drop("_most")
+
+
 def latest(items: DataFrame, as_of: date, days: int, limit: int, *ties: str) -> DataFrame:
     """Newest items: of a URL the row of the newest day, by date of publication."""
     rows = one_per_url(within_days(items, as_of, days), F.desc("date"), *map(F.asc, ties))
@@ -68,7 +76,9 @@ def with_recency(items: DataFrame, *ties: str) -> DataFrame:
     keys = items.select(*dict.fromkeys(["url", "published_at", *ties]))
     rows = numbered(keys, F.desc_nulls_last("published_at"), *map(F.asc, ties), name="place")
     last = rows.where("url <> ''").groupBy("url").agg(F.max("place").alias("recency"))
-    return items.join(last, "url", "left").withColumn("recency", F.coalesce("recency", F.lit(99)))
+    has = F.coalesce(F.col("url"), F.lit("")) != ""  # rows without a URL are many and have no partner
+    met = items.where(has).join(last, "url").select(*items.columns, F.col("recency").cast("long").alias("recency"))
+    return met.unionByName(items.where(~has).withColumn("recency", F.lit(99).cast("long")))
 
 
 def grouped(items: DataFrame, rules: Rules, fresh_urls: DataFrame, *ties: str) -> DataFrame:

@@ -124,10 +124,10 @@ def prioritised(rows: DataFrame, priority: str, *order: str) -> DataFrame:
     return given.withColumn(priority, F.coalesce(F.col(priority), F.col("most") + nth)).drop("most")
 
 
-def placed(rows: DataFrame, most: int, *order: Column | str) -> DataFrame:
-    """The first ``most`` rows in an order, with their place."""
-    head = rows.orderBy(*order).limit(most)
-    return head.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most ``most`` rows
+def placed(rows: DataFrame, most: int | None, *order: Column | str) -> DataFrame:
+    """The first ``most`` rows in an order, with their place; None is for tables of a person's making (groups, tags), which are placed whole."""
+    head = rows if most is None else rows.orderBy(*order).limit(most)
+    return head.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def movers(changes: DataFrame, key: str, most: int) -> DataFrame:
@@ -148,3 +148,42 @@ def sample_titles(titles: DataFrame, keywords: DataFrame, most: int = 5) -> Data
     score = F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s + F.when(low.contains(F.lower(x["keyword"])), x["n"]).otherwise(0))
     scored = titles.crossJoin(F.broadcast(known)).withColumn("score", score)  # one row
     return scored.drop("k").orderBy(F.desc("score"), "title").limit(most)
+
+
+def payload(stats: DataFrame, new_titles: DataFrame, accepted: Column) -> DataFrame:
+    """A report's numbers: groups (word, count) that have any, new titles (source, title) that the rules accept by source, and
+    how many those are together; (part, name, count)."""
+    groups = stats.where("count > 0").select(F.lit("group").alias("part"), F.col("word").alias("name"), F.col("count").cast("long").alias("count"))
+    new = new_titles.where(accepted)
+    by_source = new.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("count")).select(F.lit("new").alias("part"), "name", "count")
+    total = new.agg(F.lit("total_new").alias("part"), F.lit("all").alias("name"), F.count("*").alias("count"))
+    return groups.unionByName(by_source).unionByName(total)
+
+
+def snapshot(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Lines of a text snapshot: of each source (source, title, rank) its titles by rank under a heading, at last the sources that
+    failed; (source, nth, line), nth 0 is the heading."""
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("rank", "title"))
+    lines = rows.withColumn("nth", nth).select("source", "nth", F.concat(F.col("nth").cast("string"), F.lit(". "), "title").alias("line"))
+    heads = rows.select("source").distinct().select("source", F.lit(0).alias("nth"), F.concat(F.lit("# "), "source").alias("line"))
+    # One row for each source that failed, as many as a person configures.
+    bad = failed.select("source").distinct()
+    bad = bad.select(F.lit(None).cast("string").alias("source"), F.row_number().over(Window.orderBy("source")).alias("nth"), F.col("source").alias("line"))
+    title = bad.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("source"), F.lit(0).alias("nth"), F.lit("# failed").alias("line"))
+    return heads.unionByName(lines).unionByName(title).unionByName(bad)
+
+
+def named_sources(*tables: tuple[str, DataFrame]) -> DataFrame:
+    """Every name that any of the tables (kind, table of one column) has, once, with the kinds it is found in."""
+    rows = [t.select(F.col(t.columns[0]).alias("name"), F.lit(kind).alias("kind")) for kind, t in tables]
+    both = rows[0]
+    for t in rows[1:]:
+        both = both.unionByName(t)
+    return both.where("name IS NOT NULL").distinct().groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+
+
+def overlapping(periods: DataFrame, key: list[str]) -> DataFrame:
+    """(a, b) of periods (name, start, end) of one key that overlap, a before b by name."""
+    a = periods.select(*key, F.col("name").alias("a"), F.col("start").alias("_sa"), F.col("end").alias("_ea"))
+    b = periods.select(*key, F.col("name").alias("b"), F.col("start").alias("_sb"), F.col("end").alias("_eb"))
+    return a.join(b, key).where((F.col("_sa") < F.col("_eb")) & (F.col("_sb") < F.col("_ea")) & (F.col("a") < F.col("b"))).select(*key, "a", "b")

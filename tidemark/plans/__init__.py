@@ -1,5 +1,5 @@
 """All queries by name, with their SQL."""
 
-from . import queries, reports, store, trends
+from . import queries, reports, searches, store, trends
 
-__all__ = ["queries", "reports", "store", "trends"]
+__all__ = ["queries", "reports", "searches", "store", "trends"]

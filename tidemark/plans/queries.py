@@ -12,7 +12,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.dates import day_spine, fresh, in_period
 from ..operators import analytics as A
-from ..operators import cluster, observe, search, store
+from ..operators import cluster, history, observe, search, store
 from ..sources.observations import listing, observations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,10 +434,12 @@ def join20_period_of_event(spark: SparkSession, sf: str) -> DataFrame:
     return events.join(F.broadcast(periods), (F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))).groupBy("period").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {_PERIOD_SQL} SELECT x.period AS a, y.period AS b FROM periods x JOIN periods y ON x.s < y.e AND y.s < x.e AND x.period < y.period")
+@query("""WITH p AS (SELECT ts::DATE AS date, event_type AS name, min(ts) AS s, max(ts) AS e FROM events WHERE value > 100 GROUP BY ALL)
+  SELECT date, x.name AS a, y.name AS b FROM p x JOIN p y USING (date) WHERE x.s < y.e AND y.s < x.e AND x.name < y.name""")
 def join21_overlapping_periods(spark: SparkSession, sf: str) -> DataFrame:
-    x, y = (spark.createDataFrame(_PERIODS, f"{n} string, s{n} string, e{n} string") for n in "ab")
-    return x.join(y, (F.col("sa") < F.col("eb")) & (F.col("sb") < F.col("ea")) & (F.col("a") < F.col("b"))).select("a", "b")
+    """Types of events whose times of high values overlap on a day."""
+    e = table(spark, sf, "events").where("value > 100")
+    return history.overlapping(e.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("name")).agg(F.min("ts").alias("start"), F.max("ts").alias("end")), ["date"])
 
 
 # ---- set operations and table maintenance

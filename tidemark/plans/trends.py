@@ -138,8 +138,8 @@ def set06_report_sections(spark: SparkSession, sf: str) -> DataFrame:
   SELECT position, count, row_number() OVER (ORDER BY count DESC, position)::INT AS place_by_count, row_number() OVER (ORDER BY position, count DESC)::INT AS place_by_position FROM n""")
 def srt02_group_orders(spark: SparkSession, sf: str) -> DataFrame:
     groups = A.keyword_stats(listing(spark, sf), RULES).select("position", "count")
-    by_count = history.placed(groups, 1000, F.desc("count"), "position").withColumnRenamed("place", "place_by_count")
-    by_position = history.placed(groups, 1000, "position", F.desc("count")).select("position", F.col("place").alias("place_by_position"))
+    by_count = history.placed(groups, None, F.desc("count"), "position").withColumnRenamed("place", "place_by_count")
+    by_position = history.placed(groups, None, "position", F.desc("count")).select("position", F.col("place").alias("place_by_position"))
     return by_count.join(by_position, "position")
 
 
@@ -147,8 +147,8 @@ def srt02_group_orders(spark: SparkSession, sf: str) -> DataFrame:
   SELECT tag, n, row_number() OVER (ORDER BY position, n DESC, tag)::INT AS place_by_position, row_number() OVER (ORDER BY n DESC, position, tag)::INT AS place_by_count FROM t""")
 def srt03_tag_orders(spark: SparkSession, sf: str) -> DataFrame:
     tags = table(spark, sf, "documents").groupBy(F.col("lang").alias("tag")).agg(F.count("*").alias("n")).withColumn("position", F.ascii("tag") % 2)
-    first = history.placed(tags, 1000, "position", F.desc("n"), "tag").select("tag", "n", F.col("place").alias("place_by_position"))
-    second = history.placed(tags, 1000, F.desc("n"), "position", "tag").select("tag", F.col("place").alias("place_by_count"))
+    first = history.placed(tags, None, "position", F.desc("n"), "tag").select("tag", "n", F.col("place").alias("place_by_position"))
+    second = history.placed(tags, None, F.desc("n"), "position", "tag").select("tag", F.col("place").alias("place_by_count"))
     return first.join(second, "tag")
 
 
