@@ -2,7 +2,9 @@
 
 import datetime as dt
 import difflib
+import html
 from datetime import date
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,5 +152,18 @@ def test_xml_feeds(spark):
 
 def test_numeric_references(spark):
     some = ["a &#65;&#x1F600; &#8212;", "&#0; &#xD800; &#99999999; &#x110000;", "&#233;&#233;", "none", "", None, "&#39;x&#X41;"]
-    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x string").select("i", text.numbers_decoded(F.col("x")).alias("x")).orderBy("i").select("x").collect()]
-    assert got == ["a A😀 —", some[1], "éé", "none", "", None, "'xA"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x string").select("i", text.references_decoded(F.col("x")).alias("x")).orderBy("i").select("x").collect()]
+    assert got == ["a A😀 —", "\ufffd \ufffd \ufffd \ufffd", "éé", "none", "", None, "'xA"]
+
+
+def test_character_references(spark):
+    names = [f"&{n}" for n in html5] + [f"a&{n}b" for n in html5 if not n.endswith(";")]
+    numbers = [f"&#{n};" for n in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDCF, 0xFDD0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**7, 10**30]]
+    numbers += ["&#x41;", "&#X1f600", "&#00065;", "&#x0000000000041;", "&#65x", "&#x;", "&#;", "&#xZ;", "&#65&#66;"]
+    nested = ["a &#38;lt;b&gt; c", "&amp;amp;amp;", "&#38;#38;", "&amp;#65;", "&notit;", "&notin;", "&ampamp;", "&nope; &", "&&lt", "& lt;", "&lt&gt;", "x &AMP y", "&frac12x;", "", "&" * 5, "&verylongnamethatgoesonandonandonandon;"]
+    texts = names + numbers + nested
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["d"] for r in rows.select("i", text.references_decoded(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert [(t, g) for t, g, w in zip(texts, got, map(html.unescape, texts), strict=True) if g != w] == []
+    assert one(spark, text.plain_html(F.lit("a &#38;lt;b&gt; c<br>&eacute;&mdash;<i>x</i>"))) == "a &lt;b> cé—x"
+    assert one(spark, text.references_decoded(F.lit(None).cast("string"))) is None

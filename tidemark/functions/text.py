@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import json
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,8 +32,7 @@ TRACKING = (
     "share_token", "share_id", "share_from",
 )
 TRACKING_OF = {"weibo": ("band_rank", "refer", "t")}
-#: Named character references, and the characters that must be escaped, in order.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: The characters that must be escaped, in order.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 
 
@@ -66,23 +67,62 @@ def topic_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(TOPIC_STOP_WORDS)))
 
 
-def _referred(reference: Column) -> Column:
-    """The character of a numeric reference; what is no character stays as it is."""
-    code = F.when(reference.rlike("^&#[xX]"), F.conv(F.regexp_extract(reference, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(reference, "[0-9]+", 0)).cast("long")
-    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")).otherwise(reference)
+#: What begins like a character reference, as HTML 5 reads text.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The longest name that is read without its semicolon.
+LEGACY = max(len(name) for name in html5 if not name.endswith(";"))
 
 
-def numbers_decoded(text: Column) -> Column:
-    """Numeric character references decoded."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
-    return F.when(text.contains("&#"), F.aggregate(found, text, lambda t, r: F.replace(t, r, _referred(r)))).otherwise(text)
+def _names() -> Column:
+    """The names of HTML 5 by their first letter and then whole, as one constant."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string, map<string, string>>")
+
+
+def _named(name: Column) -> Column:
+    return F.try_element_at(F.try_element_at(_names(), F.left(name, F.lit(1))), name)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of a numeric reference: C1 controls are Windows-1252, what can't be a character is U+FFFD, other controls and noncharacters vanish."""
+    digits = F.regexp_replace(F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+)", 1), "^0+", "")
+    hexadecimal = reference.rlike("^&#[xX]")
+    number = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).otherwise(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+    windows = F.array(*(F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)))
+    none = number.between(1, 8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
+        .when(number.between(0x80, 0x9F), F.get(windows, number - 0x80))
+        .when(none, "")
+        .otherwise(_character(F.when((number > 0) & (number <= 0x10FFFF), number)))
+    )
+
+
+def _decoded(reference: Column) -> Column:
+    name = F.substring(reference, F.lit(2), F.length(reference))
+    tries = [_named(name)]
+    for n in range(LEGACY, 1, -1):  # a name without its semicolon may go on as text
+        tries.append(F.when(F.length(name) > n, F.concat(_named(F.left(name, F.lit(n))), F.substring(name, F.lit(n + 1), F.length(name)))))
+    return F.when(reference.startswith("&#"), _numbered(reference)).otherwise(F.coalesce(*tries, reference))
+
+
+def references_decoded(text: Column) -> Column:
+    """All character references decoded, from left to right and once: what a decoded reference yields is text."""
+    pieces = F.split(text, REFERENCE)
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _decoded)
+    joined = F.array_join(F.zip_with(pieces, F.array_append(found, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def plain_html(html: Column) -> Column:
     """Character references decoded, tags dropped, white space collapsed."""
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, numbers_decoded(html))
-    return collapse(F.regexp_replace(text, "<[^>]+>", ""))
+    return collapse(F.regexp_replace(references_decoded(html), "<[^>]+>", ""))
 
 
 def escape_html(text: Column) -> Column:

@@ -371,7 +371,11 @@ def _nested(expression: str, pairs: tuple[tuple[str, str], ...]) -> str:
     return expression
 
 
-@query(f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({_nested('html', T.ENTITIES)}, '<[^>]+>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS digest FROM pages")
+#: The references that the pages hold; a decoded ampersand is last, so that it begins none.
+_REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+@query(f"SELECT page_id, md5(trim(regexp_replace(regexp_replace({_nested('html', _REFERENCES)}, '<[^>]+>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS digest FROM pages")
 def str06_plain_html(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(T.plain_html(F.col("html")).cast("binary")).alias("digest"))
 

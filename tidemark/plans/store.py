@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, observe
-from ..sources.observations import polled, titled
-from .queries import query
+from ..operators import history, observe, versions
+from ..sources.days import DayStore, coverage
+from ..sources.observations import observations, polled, table, titled
+from .queries import OBS, query
 from .trends import POLLS
 
 _TITLED = POLLS.replace(
@@ -38,3 +41,62 @@ def snk01_poll_log(spark: SparkSession, sf: str) -> DataFrame:
 @query(_TITLED + " SELECT date, platform_id, item, batch, old AS old_title, title AS new_title FROM o WHERE old <> title")
 def snk01_title_log(spark: SparkSession, sf: str) -> DataFrame:
     return observe.title_changes(_titled_polls(spark, sf)[0], observe.KEY, "title", "batch")
+
+
+# ---- tables by day
+
+
+def _store(rows: DataFrame) -> DayStore:
+    store = DayStore.create(rows.sparkSession, rows.schema)
+    store.write(rows)
+    return store
+
+
+@query(OBS + " SELECT date, batch, platform_id, item, rank FROM obs WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND platform_id IN ('click', 'error')")
+def src07_days_of_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Some days and platforms of the observations out of a table by day."""
+    return _store(observations(spark, sf)).read(date(2024, 1, 5), date(2024, 1, 9), platform_id=["click", "error"])
+
+
+_DAYS = """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_totalprice > 300000), s AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+def _day_stores(spark: SparkSession, sf: str) -> tuple[DayStore, DayStore]:
+    orders = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice", "o_orderpriority")
+    return _store(orders.where("o_totalprice > 300000")), _store(orders.where("o_orderpriority = '1-URGENT'"))
+
+
+@query(_DAYS + """ SELECT 'dear' AS store, min(date) AS first_day, max(date) AS last_day, count(*) AS days, max(date) - min(date) + 1 - count(*) AS missing FROM o
+  UNION ALL SELECT 'urgent', min(date), max(date), count(*), max(date) - min(date) + 1 - count(*) FROM s""")
+def anl32_store_status(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last day, days and missing days of two tables by day, from their partitions alone."""
+    dear, urgent = (store.status() for store in _day_stores(spark, sf))
+    return dear.withColumn("store", F.lit("dear")).unionByName(urgent.withColumn("store", F.lit("urgent")))
+
+
+@query(_DAYS + " SELECT date, CASE WHEN o.date IS NULL THEN 'second' WHEN s.date IS NULL THEN 'first' ELSE 'both' END AS kind FROM o FULL JOIN s USING (date)")
+def src14_store_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage(*_day_stores(spark, sf))
+
+
+# ---- changes of several tables
+
+
+@query("""WITH t AS (SELECT n_nationkey AS tag_id, n_regionkey = 2 AS gone FROM nation), r AS (SELECT c_custkey AS item_id, c_nationkey AS tag_id, c_acctbal < 0 AS old FROM customer UNION ALL SELECT o_custkey, o_orderkey % 25, o_orderkey % 5 = 0 FROM orders),
+  x AS (SELECT item_id, tag_id, old OR gone AS dep, NOT old AND gone AS now FROM r JOIN t USING (tag_id)), l AS (SELECT item_id FROM x GROUP BY 1 HAVING NOT (bool_or(now) AND bool_and(dep)))
+  SELECT 'tags' AS part, CASE WHEN gone THEN 'deprecated' ELSE 'active' END AS status, count(*) AS n, count(*) FILTER (gone) AS dated FROM t GROUP BY ALL
+  UNION ALL SELECT 'results', CASE WHEN dep THEN 'deprecated' ELSE 'active' END, count(*), count(*) FILTER (now) FROM x GROUP BY ALL UNION ALL SELECT 'log', 'analysed', count(*), 0 FROM l""")
+def snk05_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags (nations) of one region are deprecated with their results; items that keep none leave the log."""
+    none, status = F.lit(None).cast("timestamp").alias("deprecated_at"), lambda old: F.when(old, "deprecated").otherwise("active").alias("status")
+    nation = table(spark, sf, "nation")
+    tags = nation.select(F.col("n_nationkey").cast("long").alias("tag_id"), F.lit("active").alias("status"), none)
+    one = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("item_id"), F.col("c_nationkey").cast("long").alias("tag_id"), status(F.col("c_acctbal") < 0), none)
+    two = table(spark, sf, "orders").select(F.col("o_custkey").cast("long"), (F.col("o_orderkey") % 25).cast("long"), status(F.col("o_orderkey") % 5 == 0), none)
+    results = one.union(two)
+    gone = nation.where("n_regionkey = 2").select(F.col("n_nationkey").cast("long").alias("tag_id"))
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    new_tags, new_results, log = versions.deprecate_tags(tags, results, results.select("item_id").distinct(), gone, at)
+    count = lambda f, name: f.groupBy("status").agg(F.count("*").alias("n"), F.count("deprecated_at").alias("dated")).select(F.lit(name).alias("part"), "status", "n", "dated")
+    left = log.agg(F.lit("log").alias("part"), F.lit("analysed").alias("status"), F.count("*").alias("n"), F.lit(0).cast("long").alias("dated"))
+    return count(new_tags, "tags").unionByName(count(new_results, "results")).unionByName(left)

@@ -17,12 +17,20 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only on a single machine a temporary one stands in where that is unset."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tidemark_folder", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = context._tidemark_folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return folder
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; only on a single machine a temporary one stands in where that is unset."""
+    """Cuts lineage in the shared folder."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
