@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules, text
-from tidemark.functions.dates import date_range, in_period
+from tidemark.functions.dates import date_range, in_period, spoken_day
 from tidemark.functions.score import hotness
 from tidemark.operators import cluster, observe, search, store
 from tidemark.sources import feeds
@@ -167,3 +167,50 @@ def test_character_references(spark):
     assert [(t, g) for t, g, w in zip(texts, got, map(html.unescape, texts), strict=True) if g != w] == []
     assert one(spark, text.plain_html(F.lit("a &#38;lt;b&gt; c<br>&eacute;&mdash;<i>x</i>"))) == "a &lt;b> cé—x"
     assert one(spark, text.references_decoded(F.lit(None).cast("string"))) is None
+
+
+def _item(n, dc, content, rss=""):
+    return f"""<{rss}item><{rss}title>T{n}</{rss}title><{rss}link>l{n}</{rss}link><{rss}description>d{n} &lt;b&gt;x&lt;/b&gt;</{rss}description>
+      <{dc}:date>2024-01-0{n}T03:04:05Z</{dc}:date><{dc}:creator>N{n}</{dc}:creator><{content}:encoded>c</{content}:encoded></{rss}item>"""
+
+
+def test_three_dialects_and_any_prefix_give_the_same_rows(spark):
+    dc, content, rdf = "http://purl.org/dc/elements/1.1/", "http://purl.org/rss/1.0/modules/content/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    two = f"""<rss version="2.0" xmlns:dc="{dc}" xmlns:content="{content}" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>C</title><atom:link href="self" rel="self"/>
+      {_item(1, "dc", "content")}{_item(2, "dc", "content")}</channel></rss>"""
+    other = f"""<rss version="2.0" xmlns:a.b='{dc}' xmlns:c='{content}'><channel><title>C</title>{_item(1, "a.b", "c")}{_item(2, "a.b", "c")}</channel></rss>"""
+    one_zero = f"""<?xml version="1.0"?><rdf:RDF xmlns:rdf="{rdf}" xmlns="http://purl.org/rss/1.0/" xmlns:dc="{dc}" xmlns:content="{content}"><channel rdf:about="x"><title>C</title>
+      <items><rdf:Seq><rdf:li resource="l1"/></rdf:Seq></items></channel>{_item(1, "dc", "content")}{_item(2, "dc", "content")}</rdf:RDF>"""
+    prefixed = f"""<r:RDF xmlns:r="{rdf}" xmlns:rss="http://purl.org/rss/1.0/" xmlns:d="{dc}" xmlns:content="{content}"><rss:channel r:about="x"><rss:title>C</rss:title></rss:channel>
+      {_item(1, "d", "content", "rss:")}{_item(2, "d", "content", "rss:")}</r:RDF>"""
+    entry = lambda n: f"""<x:entry><x:title>T{n}</x:title><x:link href="l{n}"/><x:updated>2024-01-0{n}T03:04:05Z</x:updated><x:summary type="html">d{n} &lt;b&gt;x&lt;/b&gt;</x:summary>
+      <x:author><x:name>N{n}</x:name></x:author></x:entry>"""
+    atom = f"""<x:feed xmlns:x="http://www.w3.org/2005/Atom"><x:title>C</x:title>{entry(1)}{entry(2)}</x:feed>"""
+    bodies = [two, other, one_zero, prefixed, atom]
+    got = feeds.rss_items(spark.createDataFrame(list(enumerate(bodies)), "source_id int, body string")).orderBy("source_id", "title").collect()
+    want = [(f"T{n}", f"l{n}", dt.datetime(2024, 1, n, 3, 4, 5), f"d{n} x", f"N{n}", f"l{n}") for n in (1, 2)]
+    for k in range(len(bodies)):
+        assert [(r["title"], r["url"], r["published_at"], r["summary"], r["author"], r["guid"]) for r in got if r["source_id"] == k] == want
+    about = f"""<q:RDF xmlns:q="{rdf}" xmlns="http://purl.org/rss/1.0/"><item q:about="id9"><title>T</title><link>l</link></item></q:RDF>"""
+    assert feeds.rss_items(spark.createDataFrame([(1, about)], "source_id int, body string")).first()["guid"] == "id9"
+
+
+def test_feeds_that_cannot_be_read_are_told(spark):
+    bodies = ["<rss><channel><item><title>x", "not xml", None, " ", "<html><body>moved</body></html>", "<rss><channel><title>none yet</title></channel></rss>", '<feed xmlns="http://www.w3.org/2005/Atom"/>', "<rss><channel><item><title>x</title></item></channel></rss>"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "source_id int, body string")
+    assert {r["source_id"]: r["reason"] for r in feeds.failed_feeds(rows).collect()} == {0: "broken", 1: "broken", 2: "empty", 3: "empty", 4: "unknown"}
+
+
+def test_spoken_days(spark):
+    day = dt.date(2025, 10, 11)  # a Saturday
+    ago = lambda n: day - dt.timedelta(n)
+    golden = {
+        "今天": ago(0), "昨天": ago(1), "前天": ago(2), "大前天": ago(3), "today": ago(0), " Yesterday ": ago(1), "3天前": ago(3), "3 天前": ago(3), "1 day ago": ago(1), "10 days ago": ago(10), "365天前": ago(365),
+        "366天前": None, "999999999999999 days ago": None, "上周一": dt.date(2025, 9, 29), "上周天": dt.date(2025, 10, 5), "上周六": dt.date(2025, 10, 4), "本周三": dt.date(2025, 10, 8), "本周日": dt.date(2025, 10, 5),
+        "last monday": dt.date(2025, 9, 29), "Last  Sunday": dt.date(2025, 10, 5), "this friday": dt.date(2025, 10, 10), "this sunday": dt.date(2025, 10, 5), "this saturday": day, "2025-10-10": ago(1), "2025-1-5": dt.date(2025, 1, 5),
+        "2025-13-01": None, "2025-02-30": None, "10月10日": ago(1), "11月2日": dt.date(2024, 11, 2), "2023年2月3日": dt.date(2023, 2, 3), "2023年2月30日": None, "10/10": ago(1), "12/31": dt.date(2024, 12, 31), "2024/2/29": dt.date(2024, 2, 29),
+        "13/1": None, "some day": None, "": None, None: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(golden)), "i int, t string").select("i", spoken_day(F.col("t"), F.lit(day)).alias("d"))
+    got = [r["d"] for r in rows.orderBy("i").collect()]
+    assert [(t, g, w) for (t, w), g in zip(golden.items(), got, strict=True) if g != w] == []

@@ -42,6 +42,45 @@ def date_range(words: str, as_of: date) -> tuple[date, date]:
     raise ValueError(f"not a date or a range: {words!r}")
 
 
+#: Words for a day, how many days ago it is; weekdays from Monday on.
+DAY_WORDS = {"今天": 0, "昨天": 1, "前天": 2, "大前天": 3, "today": 0, "yesterday": 1}
+WEEKDAYS = {"en": "monday tuesday wednesday thursday friday saturday sunday".split(), "zh": "一二三四五六日"}
+
+
+def _day_of(year: Column, month: Column, day: Column) -> Column:
+    """The date, or NULL if there is no such day."""
+    return F.to_date(F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d")))
+
+
+def spoken_day(text: Column, as_of: Column, most_days: int = 365) -> Column:
+    """The day that a text begins with, seen from ``as_of``; NULL if it says none.
+
+    Days ago (up to ``most_days``), words for a day, weekdays of the last or this week (this week's is the last one gone by), and
+    written dates in both languages; a month and day without a year are never after the month of ``as_of``."""
+    said = F.lower(F.trim(text))
+    part = lambda pattern, i=1: F.regexp_extract(said, pattern, i)
+    ago = lambda n: F.when(n <= most_days, F.date_sub(as_of, n.cast("int")))
+    monday_based = F.weekday(as_of)
+    rules: list[tuple[Column, Column]] = [(said == word, F.date_sub(as_of, n)) for word, n in DAY_WORDS.items()]
+    for pattern in (r"^(\d+)\s*天前", r"^(\d+)\s*days?\s+ago"):
+        rules.append((said.rlike(pattern), ago(part(pattern).try_cast("bigint"))))
+    chinese, english = "^(上|本)周([一二三四五六日天])", rf"^(last|this)\s+({'|'.join(WEEKDAYS['en'])})"
+    for pattern, last, number in (
+        (chinese, "上", F.position(F.when(part(chinese, 2) == "天", "日").otherwise(part(chinese, 2)), F.lit(WEEKDAYS["zh"])) - 1),
+        (english, "last", F.array_position(F.array(*map(F.lit, WEEKDAYS["en"])), part(english, 2)).cast("int") - 1),
+    ):
+        back = monday_based - number
+        rules.append((said.rlike(pattern), F.date_sub(as_of, F.when(part(pattern) == last, back + 7).otherwise(F.pmod(back, F.lit(7))))))
+    for pattern in (r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日", r"^(?:(\d{4})/)?(\d{1,2})/(\d{1,2})"):
+        month = part(pattern, 2)
+        guessed = (F.year(as_of) - F.when(month.try_cast("int") > F.month(as_of), 1).otherwise(0)).cast("string")
+        rules.append((said.rlike(pattern), _day_of(F.when(part(pattern) == "", guessed).otherwise(part(pattern)), month, part(pattern, 3))))
+    out = F.when(*rules[0])
+    for condition, value in rules[1:]:
+        out = out.when(condition, value)
+    return out
+
+
 def compare_period(words: str | dict[str, str], as_of: date) -> tuple[date, date] | None:
     """First and last day of a period to compare; other than in ``date_range`` the last week and month are the 7 and 30 days before."""
     if isinstance(words, dict):

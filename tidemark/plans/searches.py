@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..operators import analytics as A
 from ..operators import feeds, history, observe, search
 from ..sources.observations import feed_items, listing, observations, polled, table
@@ -121,3 +122,19 @@ def anl19_unique_topics_of_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Words of first lines that are among the top ten of one language only, five of each."""
     docs = table(spark, sf, "documents")
     return A.unique_topics(docs.select(F.col("lang").alias("platform_id"), F.substring_index("text", "\n", 1).alias("title")))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey % 20 AS n, o_orderkey % 7 AS w, o_orderkey % 6 AS kind FROM orders),
+  d AS (SELECT CASE kind WHEN 0 THEN DATE '{DAY}' - n::INT WHEN 1 THEN DATE '{DAY}' - n::INT WHEN 2 THEN DATE '{DAY}' - (isodow(DATE '{DAY}') - 1 - w + 7)::INT
+    WHEN 3 THEN DATE '{DAY}' - ((isodow(DATE '{DAY}') - 1 - w + 7) % 7)::INT WHEN 4 THEN make_date(CASE WHEN w + 1 > month(DATE '{DAY}') THEN 1997 ELSE 1998 END, w + 1, n + 1) END AS day FROM n)
+  SELECT day, count(*) AS n FROM d GROUP BY 1""")
+def dt06_spoken_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Days said in words, made of the orders' numbers, as dates."""
+    n, w = (F.col("o_orderkey") % 20).cast("string"), F.col("o_orderkey") % 7
+    english = F.get(F.array(*map(F.lit, D.WEEKDAYS["en"])), w.cast("int"))
+    kinds = [
+        F.concat(n, F.lit(" days ago")), F.concat(n, F.lit("天前")), F.concat(F.lit(" Last "), english), F.concat(F.lit("本周"), F.substring(F.lit(D.WEEKDAYS["zh"]), w.cast("int") + 1, F.lit(1))),
+        F.concat((w + 1).cast("string"), F.lit("月"), (F.col("o_orderkey") % 20 + 1).cast("string"), F.lit("日")), F.lit("some day"),
+    ]
+    said = F.get(F.array(*kinds), (F.col("o_orderkey") % 6).cast("int"))
+    return table(spark, sf, "orders").select(D.spoken_day(said, F.lit(DAY)).alias("day")).groupBy("day").agg(F.count("*").alias("n"))

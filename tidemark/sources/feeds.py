@@ -13,11 +13,15 @@ JSON_FEED = (
     "summary STRING, date_published STRING, date_modified STRING, authors ARRAY<STRUCT<name STRING>>>>"
 )
 
+_ITEM = (
+    "ARRAY<STRUCT<title STRUCT<_VALUE STRING>, `dc:title` STRING, link STRING, guid STRUCT<_VALUE STRING>, `_rdf:about` STRING, pubDate STRING, `dc:date` STRING, "
+    "description STRING, `dc:description` STRING, `content:encoded` STRING, author STRING, `dc:creator` STRING>>"
+)
+#: RSS 2.0 has its items in the channel, RDF beside it, Atom has entries.
 XML_FEED = (
-    "channel STRUCT<item ARRAY<STRUCT<title STRUCT<_VALUE STRING>, link STRING, guid STRUCT<_VALUE STRING>, pubDate STRING, `dc:date` STRING, "
-    "description STRING, `content:encoded` STRING, author STRING, `dc:creator` STRING>>>, "
+    f"channel STRUCT<item {_ITEM}, title STRING>, item {_ITEM}, "
     "entry ARRAY<STRUCT<title STRUCT<_VALUE STRING>, link ARRAY<STRUCT<_href STRING, _rel STRING, _type STRING>>, id STRING, published STRING, "
-    "updated STRING, summary STRUCT<_VALUE STRING>, content STRUCT<_VALUE STRING>, author ARRAY<STRUCT<name STRING>>>>"
+    "updated STRING, summary STRUCT<_VALUE STRING>, content STRUCT<_VALUE STRING>, author ARRAY<STRUCT<name STRING>>>>, _broken STRING"
 )
 
 
@@ -48,20 +52,67 @@ def json_feed_items(payloads: DataFrame, source: str = "source_id", body: str =
     )
 
 
+#: Namespaces of feeds, with the prefix that the schema has for each.
+NAMESPACES = {
+    "http://www.w3.org/2005/Atom": "",
+    "http://purl.org/rss/1.0/": "",
+    "http://my.netscape.com/rdf/simple/0.9/": "",
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf:",
+    "http://purl.org/dc/elements/1.1/": "dc:",
+    "http://purl.org/rss/1.0/modules/content/": "content:",
+}
+
+
+def usual_prefixes(body: Column) -> Column:
+    """The document with the schema's prefixes in place of those that it has chosen itself for known namespaces.
+
+    Atom elements in another kind of feed (``<atom:link>`` in RSS) keep theirs: they are not the feed's own."""
+    root = F.regexp_extract(body, r"<([A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*[\s>/]", 1)
+    out = body
+    for uri, usual in NAMESPACES.items():
+        at = uri.replace(".", r"\.")
+        prefix = F.regexp_extract(body, rf"xmlns:([A-Za-z_][\w.-]*)\s*=\s*[\"']{at}[\"']", 1)
+        own = F.concat(prefix, F.lit(":"))
+        other = (prefix != "") & (own != usual)
+        if not usual:
+            other = other & ((root == own) | F.lit("Atom" not in uri))
+        literal = F.replace(prefix, F.lit("."), F.lit(r"\."))
+        tags = F.regexp_replace(out, F.concat(F.lit("(</?)"), literal, F.lit(":")), F.lit(f"$1{usual}"))
+        if usual:
+            tags = F.regexp_replace(tags, F.concat(F.lit(r"(<[^<>]*\s)"), literal, F.lit(r":([\w.-]+\s*=)")), F.lit(f"$1{usual}$2"))
+        out = F.when(other, tags).otherwise(out)
+    return out
+
+
+def _parsed(payloads: DataFrame, source: str, body: str) -> DataFrame:
+    return payloads.select(source, F.col(body).alias("_body"), F.from_xml(usual_prefixes(F.col(body)), XML_FEED, {"columnNameOfCorruptRecord": "_broken"}).alias("p"))
+
+
+def failed_feeds(payloads: DataFrame, source: str = "source_id", body: str = "body") -> DataFrame:
+    """(source, reason) of the documents that give no entry because they can't be read: ``empty``, ``broken`` (no XML) or ``unknown``
+    (XML, but no feed). A feed without entries is none of them."""
+    rows = _parsed(payloads, source, body)
+    nothing = F.coalesce(F.trim("_body"), F.lit("")) == ""
+    feed = F.coalesce("p.channel.item", "p.item").isNotNull() | F.col("p.entry").isNotNull() | F.col("p.channel").isNotNull()
+    named = F.col("_body").rlike(r"<([A-Za-z_][\w.-]*:)?(rss|feed|RDF)[\s>/]")
+    reason = F.when(nothing, "empty").when(F.col("p._broken").isNotNull() & ~feed, "broken").when(~feed & ~named, "unknown")
+    return rows.select(source, reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def rss_items(payloads: DataFrame, source: str = "source_id", body: str = "body", most: int = 0) -> DataFrame:
-    """Entries of RSS 2.0 and Atom documents, with fallbacks for link, date, summary and author; blank titles are
-    skipped, ``most`` for each feed if above 0. What is no XML gives no rows."""
-    rows = payloads.select(source, F.from_xml(F.col(body), XML_FEED).alias("p"))
+    """Entries of RSS 2.0, RDF (RSS 0.9 and 1.0) and Atom documents, whatever prefixes they have, with fallbacks for title, link,
+    date, summary and author; blank titles are skipped, ``most`` for each feed if above 0. ``failed_feeds`` tells what can't be read."""
+    rows = _parsed(payloads, source, body)
     empty = lambda c: F.nullif(F.trim(c), F.lit(""))
-    rss = rows.select(source, F.posexplode("p.channel.item").alias("at", "i")).select(
+    rss = rows.select(source, F.posexplode(F.coalesce("p.channel.item", "p.item")).alias("at", "i")).select(
         source,
         "at",
-        F.col("i.title._VALUE").alias("title"),
+        F.coalesce("i.title._VALUE", "i.`dc:title`").alias("title"),
         empty("i.link").alias("url"),
         F.coalesce(_day_time(F.col("i.pubDate")), _day_time(F.col("i.`dc:date`"))).alias("published_at"),
-        F.coalesce(empty("i.description"), empty("i.`content:encoded`")).alias("summary"),
+        F.coalesce(empty("i.description"), empty("i.`dc:description`"), empty("i.`content:encoded`")).alias("summary"),
         F.coalesce(empty("i.author"), empty("i.`dc:creator`")).alias("author"),
-        F.coalesce(empty("i.guid._VALUE"), empty("i.link")).alias("guid"),
+        F.coalesce(empty("i.guid._VALUE"), empty("i.`_rdf:about`"), empty("i.link")).alias("guid"),
     )
     best = F.filter("i.link", lambda x: F.coalesce(x["_rel"] == "alternate", F.lit(False)) | F.coalesce(x["_type"].startswith("text/html"), F.lit(False)))
     link = F.coalesce(F.get(best, F.lit(0))["_href"], F.get("i.link", F.lit(0))["_href"])
