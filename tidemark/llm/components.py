@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PARTS = 8
+#: A key with more than one in ``SHARES`` of all rows is dealt over several tasks; there are fewer than ``SHARES`` such keys.
+SHARES = 128
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Joins ``rows`` with ``few``, which has each key once, where one key may hold a large share of ``rows``.
 
-    Rows are dealt by key and by a hash of their columns over ``PARTS`` parts; ``few`` is sent to each.
-    """
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int"))
-    sent = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return dealt.join(sent, [key, "part"], how).drop("part")
+    Rows of such a key are dealt by a hash of their columns over parts by its count, so that none has more than one in
+    ``SHARES`` of the rows, and its row of ``few`` is sent to each. ``counts`` (key, n) saves counting the rows."""
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") * SHARES > F.col("_total"))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") * SHARES / F.col("_total")).cast("int").alias("_parts")))  # fewer than SHARES rows
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_parts")
+    sent = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(sent, [key, "_part"], how).drop("_part")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -17,8 +17,9 @@ dealt over several tasks.
 
 Null text has no words; documents without words have fingerprint zero and are linked
 like any other. Ties (bits set in exactly half of the shingles) give 0. Repeated rows
-and exact copies share a fingerprint and so a component. Very long texts are hashed
-whole. An empty table gives an empty result. Only the id and text columns are read.
+and exact copies share a fingerprint and so a component. A row without an id has its own
+fingerprint and component like any other; it links texts, but the smallest doc_id is one that
+is not null, and null only if the component has none. Very long texts are hashed whole. An empty table gives an empty result. Only the id and text columns are read.
 
 The contract above (three words, two bits) is that of the query. The pipeline's stage asks
 for five words and a Jaccard similarity of 0.8: see ``near_copies``.
@@ -179,7 +180,7 @@ def links(nodes: DataFrame, bits: int = 2, bucket: int = 32) -> DataFrame:
         raise ValueError("the segments and keys are laid out for two bits")
     keys = fuzzy_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(spread_join(keys, shared, "key"))
+    met = cut(spread_join(keys, shared, "key", counts=shared))
     few = met.where(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits
     later = lambda x, i: F.filter(F.col("fps"), lambda y, j: (j > i) & close(x, y))
@@ -202,7 +203,7 @@ def components(docs: DataFrame, *, bucket: int = 32, id_col: str = "doc_id", tex
     labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = cut(spread_join(labelled, least, "component").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread_join(prints, by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
