@@ -1,9 +1,12 @@
 """Quality rules (operator 5): line-first cleaning.
 
-Every line of a document is judged by itself: punctuation (a line of prose ends like
-a sentence or has a sentence's end within), navigation (table or menu bars, breadcrumbs,
-menus of capitalised words), symbols, shouting, one word over and over, boilerplate phrases
-in English, German, French and Spanish, and lines that only repeat an earlier line. Failing
+Every line of a document is judged by itself: navigation (table or menu bars, breadcrumbs),
+symbols, shouting, one word over and over, boilerplate phrases in English, German, French
+and Spanish, and lines that only repeat an earlier line. Two more rules are judged with a
+line's neighbours, because prose is often wrapped: punctuation (a paragraph has a sentence's
+end somewhere) and menus of capitalised words. A line is joined with the next one if it has no
+end and the next begins in lower case or it is about as long as the lines around it. List
+items and lines of code need no end, and a heading none if told prose comes next. Failing
 lines are removed, and all others stay as they are, blank ones too; a document that loses
 too much of its text is rejected. Over that stands the fixed base rule on word counts and
 repeated five-word windows. ``cleaned`` returns the text that stays, ``quality`` its verdicts.
@@ -16,6 +19,7 @@ Only the id and text columns are read, so other columns can have any name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -69,12 +73,15 @@ class LineRules:
     least_menu: int = 4  # words of a line without an end to which the menu rule applies
     most_capitals: float = 0.7  # words of a menu that begin with a capital
     boilerplate_words: int = 12  # a phrase only condemns lines of at most so many words
+    full_line: float = 0.6  # of the longest line around, that a wrapped line has at least
+    least_full: int = 30  # characters of a wrapped line
+    heading_words: int = 14  # words of a heading at most
     most_lost: float = 0.5  # share of the document's word characters in failing lines
 
 
 def ends(word: bytes) -> bool:
     """Whether a sentence or a clause ends with the word."""
-    if word[-1] in b".!?:;":
+    if word[-1] in b".!?:;)]":
         return True
     return word.decode("utf-8", "replace").rstrip(_CLOSERS).endswith(tuple(_ENDS))
 
@@ -103,14 +110,83 @@ def line_failure(line: bytes, words: list[bytes], rules: LineRules) -> str:
         low = line.lower() if line.isascii() else line.decode("utf-8", "replace").lower().encode()
         if any(x in low for x in BOILERPLATE):
             return "boilerplate"
-    if n >= rules.least_menu and not ends(words[-1]) and not any(w[-1] in b".!?" for w in words):
-        if sum(w.decode("utf-8", "replace")[0].isupper() for w in words) > rules.most_capitals * n:
-            return "navigation"
-        if n >= rules.least_prose:
-            return "punctuation"
     return ""
 
 
+#: Beginnings of list items, and what only code has.
+_ITEM = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)]|[A-Za-z][.)])\s+\S")
+_CODE = re.compile(r"\t| {2}|.*(?:[{}]|\w\(|\s[=!<>+-]?=\s|=>|::)")
+_LAST = tuple(".!?")
+
+
+def open_line(line: bytes, words: list[bytes], rules: LineRules) -> bool:
+    """Whether the line has no end, so that its neighbours must tell what it is."""
+    return len(words) >= rules.least_menu and not ends(words[-1]) and not any(w[-1] in b".!?" for w in words)
+
+
+def _continues(line: str, following: str, longest: int, rules: LineRules) -> bool:
+    if ends(line.split()[-1].encode()) or _ITEM.match(following) or _CODE.match(following):
+        return False
+    return following.lstrip()[0].islower() or len(line) >= max(rules.least_full, rules.full_line * longest)
+
+
+def _is_menu(words: list[str], rules: LineRules) -> bool:
+    return len(words) >= rules.least_menu and sum(w[0].isupper() for w in words) > rules.most_capitals * len(words)
+
+
+def paragraphs(lines: list[str | None], rules: LineRules) -> list[list[int]]:
+    """Numbers of the lines of each paragraph; None stands for a blank or failing line."""
+    out: list[list[int]] = []
+    at = 0
+    while at < len(lines):
+        if lines[at] is None:
+            at += 1
+            continue
+        to = at
+        while to < len(lines) and lines[to] is not None:
+            to += 1
+        longest = max(len(lines[i]) for i in range(at, to))
+        for i in range(at, to):
+            if i > at and _continues(lines[i - 1], lines[i], longest, rules):
+                out[-1].append(i)
+            else:
+                out.append([i])
+        at = to
+    return out
+
+
+def failures_in_context(lines: list[str | None], rules: LineRules) -> set[int]:
+    """Lines that fail by the rules of sentence ends and of menus, seen in their paragraphs."""
+    found = paragraphs(lines, rules)
+    told = []
+    for own in found:
+        words = [w for i in own for w in lines[i].split()]
+        told.append(ends(words[-1].encode()) or any(w.endswith(_LAST) for w in words))
+    failing: set[int] = set()
+    for k, own in enumerate(found):
+        menus = [i for i in own if _is_menu(lines[i].split(), rules) and open_line(lines[i].encode(), [w.encode() for w in lines[i].split()], rules)]
+        if len(own) > 1:
+            menus = [i for i in menus if i == own[-1] or not lines[i + 1].lstrip()[0].islower()]
+            if 2 * len(menus) >= len(own) and menus:
+                failing.update(menus)
+            elif not told[k] and sum(len(lines[i].split()) for i in own) >= rules.least_prose:
+                failing.update(own)
+            continue
+        line = lines[own[0]]
+        words = line.split()
+        if told[k] or len(words) < rules.least_menu:
+            continue
+        near = [i for i in (own[0] - 1, own[0] + 1) if 0 <= i < len(lines) and lines[i] is not None]
+        if (_ITEM.match(line) or _CODE.match(line)) and not (menus and any(_is_menu(lines[i].split(), rules) for i in near)):
+            continue
+        heads = len(words) <= rules.heading_words and k + 1 < len(found) and told[k + 1]
+        if heads and (not menus or any(w[0].islower() for w in words)):
+            continue
+        if menus or len(words) >= rules.least_prose:
+            failing.add(own[0])
+    return failing
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words covered by five-word windows that occur twice or more in the text."""
     first: dict[tuple, int] = {}
@@ -129,26 +205,30 @@ def repeat_words(words: list[bytes]) -> int:
 def clean_lines(text: bytes, rules: LineRules) -> tuple[list[bytes], int, int, int, int]:
     """The lines that stay; lines equal to an earlier one, failing lines, word bytes lost and in all."""
     seen: set[bytes] = set()
-    stay = []
-    dup = failed = lost = total = 0
-    for line in text.split(b"\n"):
+    lines = text.split(b"\n")
+    good = [True] * len(lines)
+    dup = failed = lost = total = unsure = 0
+    for i, line in enumerate(lines):
         own = line.split()  # bytes.split() splits on exactly 0x20 and 0x09-0x0D
         if not own:
-            stay.append(line)
             continue
-        size = len(line.translate(None, _SPACES))
-        total += size
+        total += len(line.translate(None, _SPACES))
         again = line in seen
         if again:
             dup += 1
         else:
             seen.add(line)
-        if again or line_failure(line, own, rules):
+        good[i] = not again and not line_failure(line, own, rules)
+        unsure += good[i] and open_line(line, own, rules)
+    if unsure:
+        shown = [line.decode("utf-8", "replace") if good[i] and line.split() else None for i, line in enumerate(lines)]
+        for i in failures_in_context(shown, rules):
+            good[i] = False
+    for i, line in enumerate(lines):
+        if not good[i]:
             failed += 1
-            lost += size
-        else:
-            stay.append(line)
-    return stay, dup, failed, lost, total
+            lost += len(line.translate(None, _SPACES))
+    return [line for line, stays in zip(lines, good, strict=True) if stays], dup, failed, lost, total
 
 
 def judge(texts: pa.Array, rules: LineRules) -> pa.RecordBatch:
