@@ -10,12 +10,15 @@ Documents with a hit word are contaminated and removed in the pipeline.
 The benchmark is taken in blocks of at most ``block_bytes`` of text. There is one pass over the
 documents for each block, and what a pass has found is written for the next, so driver and
 executors hold one block at a time (some 30 times its text, as words), however large the
-benchmark is. Searches use 64-bit hashes of words; every window is then confirmed on the words.
+benchmark is. Words are numbered by their bytes, never by a hash alone, so what is equal in
+numbers is equal in words. Windows with one range of the array are handled once, however
+often items say them and documents have them.
 
 Null text has no words: such documents are not contaminated and such items never occur.
 Items with fewer words than a window are one window of their own length. Equal windows
-of several items (ties) count for each item. Repeated rows are judged each on its own,
-and empty tables give no hits. Only the id and text columns are read.
+of several items (ties) count for each item. Items with one id are one item, also where they
+stand in several rows; without an id their id is the empty text. Repeated documents are judged
+each on its own, and empty tables give no hits. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table, written
-from .textbytes import ALNUM_WORDS, LOWER, SHARD_BYTES, Chunk, chunks, per_document, word_hashes, words
+from .textbytes import ALNUM_WORDS, LOWER, SHARD_BYTES, Chunk, chunks, exact_numbers, per_document, word_hashes, words
 
 WINDOW = 10
 
@@ -38,36 +41,40 @@ WINDOW = 10
 class Items:
     """A block of the benchmark: its words in a row, each a suffix's start."""
 
-    hashes: np.ndarray  # of all words of all items
-    words: list[bytes]
+    names: list[bytes]  # the different words
+    hashes: np.ndarray  # of the different words
+    number: np.ndarray  # of all words of all items, which of the different words it is
     item: np.ndarray  # the item of each word
     first: np.ndarray  # first word of each item, and the end
     ids: list[str]
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Items:
-        own: list[bytes] = []
+        known: dict[bytes, int] = {}
+        number: list[int] = []
         first = [0]
         for chunk in chunks(pa.array(texts, pa.large_string())):
             buf = LOWER[chunk.buf]
             w = words(Chunk(0, buf, chunk.offsets), ALNUM_WORDS)
-            own += [buf[s:e].tobytes() for s, e in zip(w.starts, w.ends, strict=True)]
+            number += [known.setdefault(buf[s:e].tobytes(), len(known)) for s, e in zip(w.starts, w.ends, strict=True)]
             first += (w.first[1:] + first[-1] - w.first[0]).tolist()
-        joined = np.frombuffer(b" ".join(own) + b" ", dtype=np.uint8)
-        lengths = np.array([len(x) for x in own], dtype=np.int64)
+        names = list(known)
+        joined = np.frombuffer(b" ".join(names) + b" ", dtype=np.uint8)
+        lengths = np.array([len(x) for x in names], dtype=np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
-        return Items(word_hashes(joined, starts, starts + lengths), own, np.repeat(np.arange(len(ids)), np.diff(first)), np.array(first), [str(i) for i in ids])
+        named = ["" if i is None else str(i) for i in ids]
+        item = np.repeat(np.arange(len(ids)), np.diff(first))
+        return Items(names, word_hashes(joined, starts, starts + lengths), np.array(number, np.int64), item, np.array(first), named)
 
 
 class Shard:
-    """The suffix array of a chunk's words: every suffix, to the end of its document, in order."""
+    """The suffix array of a chunk's words, given by number: every suffix, to the end of its document, in order."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray) -> None:
-        n = len(hashes)
-        self.values, number = np.unique(hashes, return_inverse=True)
-        self.words = number.astype(np.int64) + 1  # 0 stands for the end of a document
+    def __init__(self, number: np.ndarray, first: np.ndarray) -> None:
+        n = len(number)
+        self.words = number + 1  # 0 stands for the end of a document
         self.end = np.repeat(first[1:], np.diff(first))
-        self.counts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(self.values)))])
+        self.counts = np.concatenate([[0], np.cumsum(np.bincount(number))])
         rank, open_, k = self.words, np.arange(n), 1
         self.array = np.arange(n)
         slots = np.arange(n)
@@ -107,30 +114,80 @@ class Found:
     hit: np.ndarray  # which words are hit
     items: list[list[int]]  # items with an occurring window, of each document
     longest: np.ndarray  # words of the longest verbatim match, of each document
-    locations: list[tuple[int, int, int, int]]  # document, item, first word in the document and words of each longest match
+    locations: np.ndarray  # rows of document, item, first word in the document and words, of each longest match
+
+
+def _own_numbers(items: Items, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The shard's number of each different word of the items, -1 where it has none."""
+    some = np.full(int(number.max()) + 1, -1)
+    some[number] = np.arange(len(number))  # a place where each word stands
+    hashes = word_hashes(buf, starts[some], ends[some])
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    out = np.full(len(items.names), -1)
+    at = np.searchsorted(hashes, items.hashes)
+    for i in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == items.hashes).tolist():
+        k = int(at[i])
+        while k < len(order) and hashes[k] == items.hashes[i]:
+            place = some[order[k]]
+            if buf[starts[place] : ends[place]].tobytes() == items.names[i]:
+                out[i] = order[k]
+            k += 1
+    return out
+
+
+def _aranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def _crossed(left: np.ndarray, right: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of all rows (group, a) and (group, b) of one group; both are sorted by group."""
+    n, m = np.bincount(left[:, 0], minlength=groups), np.bincount(right[:, 0], minlength=groups)
+    first = np.cumsum(m) - m
+    return np.repeat(left[:, 1], m[left[:, 0]]), right[_aranges(first[left[:, 0]], m[left[:, 0]]), 1]
+
+
+def _match_lengths(here: np.ndarray, there: np.ndarray, s: np.ndarray, p: np.ndarray, most: np.ndarray, known: int) -> np.ndarray:
+    """Equal words from ``here[s]`` and ``there[p]`` on, at least ``known`` and up to ``most``; all pairs side by side."""
+    out = np.minimum(most, known)
+    open_, step = np.flatnonzero(most > known), 8
+    while len(open_):
+        at = out[open_][:, None] + np.arange(step)
+        inside = at < most[open_][:, None]
+        same = inside & (here[np.where(inside, s[open_][:, None] + at, 0)] == there[np.where(inside, p[open_][:, None] + at, 0)])
+        run = np.where(same.all(axis=1), step, np.argmin(same, axis=1))
+        out[open_] += run
+        open_ = open_[(run == step) & (out[open_] < most[open_])]
+        step = max(8, min(2 * step, (1 << 20) // max(len(open_), 1)))
+    return out
+
+
+#: Pairs of an item's and a document's place that are followed at a time.
+_PAIRS = 1 << 16
 
 
 def find(chunk: Chunk, items: Items, window: int) -> Found:
     """Looks every suffix of the items up in the chunk's suffix array."""
     buf = LOWER[chunk.buf]
     w = words(Chunk(chunk.first, buf, chunk.offsets), ALNUM_WORDS)
-    hashes = word_hashes(buf, w.starts, w.ends)
-    n = len(hashes)
-    found = Found(w.first, np.zeros(n, bool), [[] for _ in range(chunk.rows)], np.zeros(chunk.rows, np.int64), [])
-    if not n or not len(items.hashes):
+    number = exact_numbers(buf, w.starts, w.ends)
+    n = len(number)
+    found = Found(w.first, np.zeros(n, bool), [[] for _ in range(chunk.rows)], np.zeros(chunk.rows, np.int64), np.zeros((0, 4), np.int64))
+    if not n or not len(items.number):
         return found
-    shard = Shard(hashes, w.first)
-    doc = np.repeat(np.arange(chunk.rows), np.diff(w.first))[shard.array]
-    number = np.minimum(np.searchsorted(shard.values, items.hashes), len(shard.values) - 1)
-    number = np.where(shard.values[number] == items.hashes, number + 1, -1)
+    shard = Shard(number, w.first)
+    doc_of = np.repeat(np.arange(chunk.rows), np.diff(w.first))
+    doc = doc_of[shard.array]
+    wanted = _own_numbers(items, buf, w.starts, w.ends, number)[items.number] + 1  # as in ``shard.words``; 0 where the shard has none
     item_end = items.first[items.item + 1]
-    live = np.flatnonzero(number > 0)
-    low, high = shard.counts[number[live] - 1], shard.counts[number[live]]
-    whole: list[tuple[int, int, int, int]] = []  # windows: first word in the items, words, range in the array
+    live = np.flatnonzero(wanted > 0)
+    low, high = shard.counts[wanted[live] - 1], shard.counts[wanted[live]]
+    parts: list[tuple[np.ndarray, ...]] = []  # windows: first word in the items, words, range in the array
     for size in range(1, window + 1):
         if size > 1:
             on = live + size - 1 < item_end[live]
-            key = np.where(on, number[np.minimum(live + size - 1, len(number) - 1)], -1)
+            key = np.where(on, wanted[np.minimum(live + size - 1, len(wanted) - 1)], 0)
             on &= key > 0
             live, low, high, key = live[on], low[on], high[on], key[on]
             low, high = shard.bound(low, high, size - 1, key, False), shard.bound(low, high, size - 1, key, True)
@@ -140,25 +197,50 @@ def find(chunk: Chunk, items: Items, window: int) -> Found:
         change = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
         found.longest[doc[np.cumsum(change[:n]) > 0]] = size
         full = np.full(len(live), size == window) | ((live == items.first[items.item[live]]) & (live + size == item_end[live]))
-        whole += zip(live[full].tolist(), [size] * int(full.sum()), low[full].tolist(), high[full].tolist(), strict=True)
-    word = lambda p: buf[w.starts[p] : w.ends[p]].tobytes()
-    own: list[set[int]] = [set() for _ in range(chunk.rows)]
-    for s, size, a, b in whole:
-        item, wanted = int(items.item[s]), items.words[s : s + size]
-        for p in shard.array[a:b].tolist():
-            if [word(p + j) for j in range(size)] != wanted:
-                continue
-            d = int(np.searchsorted(w.first, p, side="right")) - 1
-            found.hit[p : p + size] = True
-            own[d].add(item)
-            if s > items.first[item] and p > w.first[d] and items.words[s - 1] == word(p - 1):
-                continue  # the match begins before, at a window that is found as well
-            length, most = size, min(int(items.first[item + 1]) - s, int(w.first[d + 1]) - p)
-            while length < most and items.words[s + length] == word(p + length):
-                length += 1
-            found.longest[d] = max(found.longest[d], length)
-            found.locations.append((d, item, p - int(w.first[d]), length))
-    found.items = [sorted(x) for x in own]
+        parts.append((live[full], np.full(int(full.sum()), size), low[full], high[full]))
+    s, size, low, high = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+    if not len(s):
+        return found
+    # Equal windows have one range, and ranges of one length don't overlap.
+    kinds, group = np.unique(np.stack([size, low, high], axis=1), axis=0, return_inverse=True)
+    group = group.reshape(-1)
+    counts = kinds[:, 2] - kinds[:, 1]
+    place, of = shard.array[_aranges(kinds[:, 1], counts)], np.repeat(np.arange(len(kinds)), counts)
+    change = np.bincount(place, minlength=n + 1) - np.bincount(place + kinds[of, 0], minlength=n + 1)
+    found.hit = np.cumsum(change[:n]) > 0
+    named = np.unique(np.stack([group, items.item[s]], axis=1), axis=0)
+    held = np.unique(np.stack([of, doc_of[place]], axis=1), axis=0)
+    which, where = _crossed(named, held, len(kinds))
+    for d, i in np.unique(np.stack([where, which], axis=1), axis=0).tolist():
+        found.items[d].append(i)
+    # A match is told where it begins: the words before differ, or one of the two has none.
+    before = np.where(place > w.first[doc_of[place]], shard.words[np.maximum(place - 1, 0)], 0)
+    order = np.lexsort((before, of))
+    place, before, of = place[order], before[order], of[order]
+    key = of * (n + 2) + before
+    begins, ends = np.searchsorted(of, group, "left"), np.searchsorted(of, group, "right")
+    inner = s > items.first[items.item[s]]
+    left_word = np.where(inner, wanted[np.maximum(s - 1, 0)], 0)
+    skip = inner & (left_word > 0)
+    skip_low = np.where(skip, np.searchsorted(key, group * (n + 2) + left_word, "left"), ends)
+    skip_high = np.where(skip, np.searchsorted(key, group * (n + 2) + left_word, "right"), ends)
+    firsts, sizes = np.concatenate([begins, skip_high]), np.concatenate([skip_low - begins, ends - skip_high])
+    whose = np.concatenate([np.arange(len(s))] * 2)
+    some = sizes > 0
+    firsts, sizes, whose = firsts[some], sizes[some], whose[some]
+    told = []
+    done, all_ = 0, np.cumsum(sizes)
+    while done < len(sizes):  # blocks of whole windows
+        to = max(done + 1, int(np.searchsorted(all_, (all_[done - 1] if done else 0) + _PAIRS, "right")))
+        p, own = place[_aranges(firsts[done:to], sizes[done:to])], np.repeat(whose[done:to], sizes[done:to])
+        most = np.minimum(item_end[s[own]] - s[own], shard.end[p] - p)
+        length = _match_lengths(wanted, shard.words, s[own], p, most, 1)
+        d = doc_of[p]
+        np.maximum.at(found.longest, d, length)
+        told.append(np.stack([d, items.item[s[own]], p - w.first[d], length], axis=1))
+        done = to
+    if told:
+        found.locations = np.concatenate(told)
     return found
 
 
@@ -218,8 +300,8 @@ def contamination(
     state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *none)
     state = _in_passes(state, benchmark, block_bytes, item_col, item_text_col, search, _STATE)
     return state.select(
-        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "longest_match",
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.array_distinct("items")), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "longest_match",
     )
 
 
@@ -245,7 +327,7 @@ def locations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, bl
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for chunk in chunks(batch.column(1), SHARD_BYTES):
-                    rows = [(ids[chunk.first + d], block.value.ids[i], p, n) for d, i, p, n in find(chunk, block.value, window).locations]
+                    rows = [(ids[chunk.first + d], block.value.ids[i], p, n) for d, i, p, n in find(chunk, block.value, window).locations.tolist()]
                     if rows:
                         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
                         arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]

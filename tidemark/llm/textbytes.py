@@ -130,6 +130,18 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: i
     return mix64((total[ends] - total[starts]) * _powers("down", _R_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def exact_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number from 0 for each span of bytes, equal for equal bytes only."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    sizes = ends - starts
+    to = np.cumsum(sizes)
+    data = buf[np.arange(to[-1]) + np.repeat(starts - (to - sizes), sizes)]
+    offsets = np.concatenate([[0], to]).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return spans.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive word hashes (shorter by k - 1 than the input)."""
     n = len(hashes) - k + 1
