@@ -15,15 +15,20 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", c
     """Joins ``rows`` with ``few``, which has each key once, where one key may hold a large share of ``rows``.
 
     Rows of such a key are dealt by a hash of their columns over parts by its count, so that none has more than one in
-    ``SHARES`` of the rows, and its row of ``few`` is sent to each. ``counts`` (key, n) saves counting the rows."""
+    ``SHARES`` of the rows, and its row of ``few`` is sent to each. Where no key is so frequent, that is a plain join.
+    ``counts`` (key, n) saves counting the rows."""
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))  # one row
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") * SHARES > F.col("_total"))
-    hot = F.broadcast(hot.select(key, F.ceil(F.col("n") * SHARES / F.col("_total")).cast("int").alias("_parts")))  # fewer than SHARES rows
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_parts")
-    sent = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    whole = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    if not whole["total"] or whole["most"] * SHARES <= whole["total"]:
+        return rows.join(few, key, how)
+    hot = counts.where((F.col("n") * SHARES > whole["total"]) & F.col(key).isNotNull()).collect()  # fewer than SHARES rows
+    parts = F.lit(1)
+    if hot:
+        known = F.create_map(*(F.lit(x) for r in hot for x in (r[key], -(-r["n"] * SHARES // whole["total"]))))
+        parts = F.coalesce(F.try_element_at(known, F.col(key)), F.lit(1)).cast("int")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int"))
+    sent = few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(sent, [key, "_part"], how).drop("_part")
 
 
