@@ -438,11 +438,11 @@ def join20_period_of_event(spark: SparkSession, sf: str) -> DataFrame:
     return events.join(F.broadcast(periods), (F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))).groupBy("period").agg(F.sum("n").alias("n"))
 
 
-@query("""WITH p AS (SELECT ts::DATE AS date, event_type AS name, min(ts) AS s, max(ts) AS e FROM events WHERE value > 100 GROUP BY ALL)
+@query("""WITH p AS (SELECT ts::DATE AS date, event_type AS name, min(ts) AS s, max(ts) AS e FROM events WHERE value > 150 GROUP BY ALL)
   SELECT date, x.name AS a, y.name AS b FROM p x JOIN p y USING (date) WHERE x.s < y.e AND y.s < x.e AND x.name < y.name""")
 def join21_overlapping_periods(spark: SparkSession, sf: str) -> DataFrame:
     """Types of events whose times of high values overlap on a day."""
-    e = table(spark, sf, "events").where("value > 100")
+    e = table(spark, sf, "events").where("value > 150")
     return history.overlapping(e.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("name")).agg(F.min("ts").alias("start"), F.max("ts").alias("end")), ["date"])
 
 

@@ -58,20 +58,21 @@ def src07_days_of_store(spark: SparkSession, sf: str) -> DataFrame:
     return _store(observations(spark, sf)).read(date(2024, 1, 5), date(2024, 1, 9), platform_id=["click", "error"])
 
 
-_DAYS = """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_totalprice > 300000), s AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderpriority = '1-URGENT')"""
+_DAYS = """WITH o AS (SELECT DISTINCT ts::DATE AS date FROM events WHERE value > 200 AND event_type = 'error'), s AS (SELECT DISTINCT ts::DATE AS date FROM events WHERE value > 200 AND event_type = 'click')"""
 
 
 def _day_stores(spark: SparkSession, sf: str) -> tuple[DayStore, DayStore]:
-    orders = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice", "o_orderpriority")
-    return _store(orders.where("o_totalprice > 300000")), _store(orders.where("o_orderpriority = '1-URGENT'"))
+    """Events of high value of two types, each as a table by day; some days have none."""
+    high = table(spark, sf, "events").where("value > 200").withColumn("date", F.to_date("ts"))
+    return _store(high.where("event_type = 'error'")), _store(high.where("event_type = 'click'"))
 
 
-@query(_DAYS + """ SELECT 'dear' AS store, min(date) AS first_day, max(date) AS last_day, count(*) AS days, max(date) - min(date) + 1 - count(*) AS missing FROM o
-  UNION ALL SELECT 'urgent', min(date), max(date), count(*), max(date) - min(date) + 1 - count(*) FROM s""")
+@query(_DAYS + """ SELECT 'error' AS store, min(date) AS first_day, max(date) AS last_day, count(*) AS days, max(date) - min(date) + 1 - count(*) AS missing FROM o
+  UNION ALL SELECT 'click', min(date), max(date), count(*), max(date) - min(date) + 1 - count(*) FROM s""")
 def anl32_store_status(spark: SparkSession, sf: str) -> DataFrame:
     """First and last day, days and missing days of two tables by day, from their partitions alone."""
-    dear, urgent = (store.status() for store in _day_stores(spark, sf))
-    return dear.withColumn("store", F.lit("dear")).unionByName(urgent.withColumn("store", F.lit("urgent")))
+    errors, clicks = (store.status() for store in _day_stores(spark, sf))
+    return errors.withColumn("store", F.lit("error")).unionByName(clicks.withColumn("store", F.lit("click")))
 
 
 @query(_DAYS + " SELECT date, CASE WHEN o.date IS NULL THEN 'second' WHEN s.date IS NULL THEN 'first' ELSE 'both' END AS kind FROM o FULL JOIN s USING (date)")
