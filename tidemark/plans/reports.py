@@ -231,7 +231,13 @@ def prj06_new_titles(spark: SparkSession, sf: str) -> DataFrame:
     return new.groupBy("platform_id").agg(F.count("*").alias("new_titles"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT conv_id, concat_ws(': ', role, coalesce(text, '')) AS line, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS last
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+  f AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS open, NULL::VARCHAR AS message, 0 AS nth FROM l
+    UNION ALL SELECT f.conv_id, l.i, CASE WHEN out THEN '' ELSE open END || line || chr(10), CASE WHEN out THEN open END, nth + out::INT
+    FROM f JOIN l ON l.conv_id = f.conv_id AND l.i = f.i + 1, LATERAL (SELECT strlen(open) + strlen(line) + 1 > 400 AND regexp_matches(open, '\\S') AS out))
+  SELECT conv_id, (nth - 1)::INT AS nth, message FROM f WHERE message IS NOT NULL
+  UNION ALL SELECT f.conv_id, nth, open FROM f JOIN l ON l.conv_id = f.conv_id AND l.i = f.i AND l.i = l.last WHERE regexp_matches(open, '\\S')""")
 def str18_packed_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of each conversation as messages of up to 400 bytes."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.concat_ws(": ", t["role"], t["text"]))
