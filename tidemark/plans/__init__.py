@@ -1,5 +1,5 @@
 """All queries by name, with their SQL."""
 
-from . import queries, reports, searches, store, trends
+from . import payloads, queries, reports, searches, store, trends
 
-__all__ = ["queries", "reports", "searches", "store", "trends"]
+__all__ = ["payloads", "queries", "reports", "searches", "store", "trends"]

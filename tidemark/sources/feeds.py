@@ -77,10 +77,12 @@ def usual_prefixes(body: Column) -> Column:
         if not usual:
             other = other & ((root == own) | F.lit("Atom" not in uri))
         literal = F.replace(prefix, F.lit("."), F.lit(r"\."))
-        tags = F.regexp_replace(out, F.concat(F.lit("(</?)"), literal, F.lit(":")), F.lit(f"$1{usual}"))
+        # Where nothing is to be changed the pattern matches nowhere, so that each step stands in the plan once.
+        tag = F.when(other, F.concat(F.lit("(</?)"), literal, F.lit(":"))).otherwise("(?!)()")
+        out = F.regexp_replace(out, tag, F.lit(f"$1{usual}"))
         if usual:
-            tags = F.regexp_replace(tags, F.concat(F.lit(r"(<[^<>]*\s)"), literal, F.lit(r":([\w.-]+\s*=)")), F.lit(f"$1{usual}$2"))
-        out = F.when(other, tags).otherwise(out)
+            attribute = F.when(other, F.concat(F.lit(r"(<[^<>]*\s)"), literal, F.lit(r":([\w.-]+\s*=)"))).otherwise("(?!)()")
+            out = F.regexp_replace(out, attribute, F.lit(f"$1{usual}$2"))
     return out
 
 
