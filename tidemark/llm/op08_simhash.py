@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, written
-from .components import connected_components, spread_join
+from .components import connected_components, frequent, spread_join
 from .near_copies import keep_one
 from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, words
 
@@ -180,7 +180,7 @@ def links(nodes: DataFrame, bits: int = 2, bucket: int = 32) -> DataFrame:
         raise ValueError("the segments and keys are laid out for two bits")
     keys = fuzzy_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(spread_join(keys, shared, "key", counts=shared))
+    met = cut(spread_join(keys, shared, "key", hot=frequent(shared, "key")))
     few = met.where(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits
     later = lambda x, i: F.filter(F.col("fps"), lambda y, j: (j > i) & close(x, y))
