@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import html
+import re
 from datetime import date
 from html.entities import html5
 
@@ -169,6 +170,13 @@ def test_character_references(spark):
     assert one(spark, text.references_decoded(F.lit(None).cast("string"))) is None
 
 
+def test_plain_html_of_cut_references(spark):
+    pages = ["<title>the&amp;&amp</title><p>x &quot y</p>", "<h1>a&am</h1>&copy;&middot", "&ampquot; <b>&amp;lt</b>&lt;i&gt;", "<p>a &amp</p>\n<p>&quo</p>"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    got = [r["d"] for r in rows.select("i", text.plain_html(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == [re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape(p))).strip() for p in pages]
+
+
 def _item(n, dc, content, rss=""):
     return f"""<{rss}item><{rss}title>T{n}</{rss}title><{rss}link>l{n}</{rss}link><{rss}description>d{n} &lt;b&gt;x&lt;/b&gt;</{rss}description>
       <{dc}:date>2024-01-0{n}T03:04:05Z</{dc}:date><{dc}:creator>N{n}</{dc}:creator><{content}:encoded>c</{content}:encoded></{rss}item>"""
