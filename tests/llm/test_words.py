@@ -283,6 +283,25 @@ def test_fewer_grams_still_make_models(spark, sf):
     assert (found.lang == found.lang_pred).mean() > 0.9
 
 
+def test_rare_grams_count_too(spark):
+    """The bound says what is broadcast; the verdicts, and the bits of each text, stay those of all n-grams."""
+    dice = random.Random(11)
+    said = {lang: ["".join(dice.choice(letters) for _ in range(dice.randint(2, 7))) for _ in range(400)] for lang, letters in (("a", "abcdeé"), ("b", "bcdefü"), ("c", "cdefgß"))}
+    rows = [(k, " ".join(dice.choices(said["abc"[k % 3]], k=dice.randint(1, 30))), "abc"[k % 3] if k % 7 else None) for k in range(600)]
+    rows += [(600, None, "a"), (601, "", None), (602, "12", "b"), (None, "zoö abcd", None), (5, "abc zzzzzzzz", "a"), (5, "abc zzzzzzzz", "a"), (603, "ქართული", None)]
+    docs = frame(spark, rows).repartition(5)
+    whole = language.train(docs)
+    assert whole.whole is None
+    want = sorted((tuple(r) for r in language.identify(docs, whole).collect()), key=repr)
+    for most in (0, 300):
+        learned = language.train(docs, most_grams=most)
+        assert learned.langs == whole.langs and sum(len(m.grams[-1][0]) for m in learned.models) <= most
+        got = sorted((tuple(r) for r in language.identify(docs, learned).collect()), key=repr)
+        assert [(g[0], g[1], g[4]) for g in got] == [(w[0], w[1], w[4]) for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+        assert [g[3] or 0 for g in got] == pytest.approx([w[3] or 0 for w in want], abs=1e-4)
+
+
 # ---- tables without rows
 
 

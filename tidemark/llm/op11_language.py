@@ -11,8 +11,9 @@ rows that were left out of the counts (one in ``calibrate``) it is learned how h
 language's cross-entropy goes and how often a lead of so many bits is right: the first
 gives the bound above which a text is rejected as none of the languages, the second the score.
 
-``most_grams`` bounds the models together: if the corpus has more different n-grams of
-the highest order, the rarest counts of all languages are left out of the models.
+``most_grams`` bounds what is broadcast, not what is counted. If the corpus has more different n-grams
+of the highest order, the same recursion runs as joins of tables with all of them: the scores of the most
+frequent n-grams are broadcast, and a text's other n-grams are scored by a join and added to its sum.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
 nothing can be learned. Rows without a language, or without an id, are not learned from; a null id is not held out. Equal
@@ -22,14 +23,16 @@ cross-entropies go to the language that sorts first. Repeated rows count each ti
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, table
+from .common import cut, map_arrow, table, written
+from .components import spread_join
 from .textbytes import mix64
 
 ORDER, MOST_GRAMS, CALIBRATE = 5, 1 << 21, 8
@@ -40,6 +43,9 @@ REJECTED = 0.002
 #: Cross-entropy is calibrated in steps of 1 / 64 bit up to 32 bits, a lead by its logarithm in steps of 1 / 8 up to 2 ** 24 bits.
 BITS_STEP, BITS_CELLS, LEAD_STEP, LEAD_CELLS = 64, 2048, 8, 208
 
+#: Joined scores are told in steps of 2 ** -20 bit, so that their sums don't depend on the order.
+SCORE_STEP = 1 << 20
+
 _R = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 
@@ -262,6 +268,49 @@ class Identifier:
     order: int
     bounds: np.ndarray
     scores: np.ndarray
+    #: Where the n-grams are too many to be broadcast: all of them. The models then have only the scores of the most frequent.
+    whole: Whole | None = None
+
+
+@dataclass
+class Whole:
+    """For each number of letters from 1 on, (lang, gram, own) and (lang, context, mass): a gram's probability
+    is its own part and its context's mass times the probability without its first letter."""
+
+    langs: list[str]
+    alphabet: int
+    levels: list[tuple[DataFrame, DataFrame]]
+
+    @classmethod
+    def of(cls, counted: DataFrame, langs: list[str], order: int) -> Whole:
+        tables, counts = [], counted
+        for k in range(order, 0, -1):
+            stats = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
+            discount = F.when((F.col("ones") > 0) & (F.col("twos") > 0), F.col("ones") / (F.col("ones") + 2 * F.col("twos"))).otherwise(0.5)
+            placed = counts.withColumn("context", F.left("gram", F.lit(k - 1)))
+            contexts = placed.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            contexts = written(contexts.join(F.broadcast(stats.select("lang", discount.alias("d"))), "lang"), "gram-contexts")  # a row for each language
+            own = placed.join(contexts, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
+            tables.append((written(own, "gram-shares"), contexts.select("lang", "context", (F.col("d") * F.col("kinds") / F.col("total")).alias("mass"))))
+            if k > 1:  # what is one shorter counts the different letters in front of it
+                counts = written(counts.groupBy("lang", F.right("gram", F.lit(k - 1)).alias("gram")).agg(F.count("*").alias("n")), "shorter-grams")
+        return cls(langs, 2 * (counts.select("gram").distinct().count() + 1), tables[::-1])
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        """(gram, scores) of the distinct grams in ``asked``: log2 of the last letter's probability in each language."""
+        asked = cut(asked.select("gram").distinct())
+        names = F.broadcast(asked.sparkSession.createDataFrame(list(enumerate(self.langs)), "which int, lang string"))  # a row for each language
+        below = names.select("lang", F.lit("").alias("suffix"), F.lit(1.0 / self.alphabet).alias("lower"))
+        for k, (own, mass) in enumerate(self.levels, 1):
+            wanted = asked.select(F.right("gram", F.lit(k)).alias("gram")).distinct().crossJoin(names)
+            wanted = wanted.select("which", "lang", "gram", F.left("gram", F.lit(k - 1)).alias("context"), F.right("gram", F.lit(k - 1)).alias("suffix"))
+            met = wanted.join(below, ["lang", "suffix"]).join(own, ["lang", "gram"], "left").join(mass, ["lang", "context"], "left")
+            probability = F.coalesce("own", F.lit(0.0)) + F.coalesce("mass", F.lit(1.0)) * F.col("lower")
+            found = cut(met.select("which", "lang", "gram", probability.alias("p")))
+            below = found.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        score = F.round(F.log2("p") * SCORE_STEP) / SCORE_STEP
+        by_lang = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("which", score.alias("score")))).alias("by_lang"))
+        return by_lang.select("gram", F.col("by_lang.score").alias("scores"))
 
 
 class Scorer:
@@ -306,6 +355,68 @@ class Scorer:
         return total, size
 
 
+class KnownScorer:
+    """Bits of the frequent n-grams of texts, and their other n-grams."""
+
+    def __init__(self, identifier: Identifier) -> None:
+        self.order = identifier.order
+        self.hashes = identifier.models[0].grams[-1][0]
+        self.scores = np.stack([m.grams[-1][1] for m in identifier.models], axis=1)
+
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[int]]]:
+        """(minus log2 of the frequent ones, letters and spaces, names of the others, how often each)."""
+        total, size = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), np.int64)
+        names, numbers = [[] for _ in texts], [[] for _ in texts]
+        for at, stream, first in grouped(texts, self.order):
+            places = np.flatnonzero(_ends(stream, first, self.order))
+            h = gram_hashes(stream, self.order)[places]
+            counts = np.diff(first) - (self.order - 1)
+            text = at + np.repeat(np.arange(len(counts)), counts)
+            size[at : at + len(counts)] += counts
+            where, hit = _looked_up(self.hashes, h) if len(self.hashes) else (h, np.zeros(len(h), bool))
+            found = np.flatnonzero(hit)
+            for lang in range(total.shape[1]):
+                total[:, lang] -= np.bincount(text[found], self.scores[where[found], lang], len(texts))
+            other = np.flatnonzero(~hit)
+            other = other[np.lexsort((h[other], text[other]))]
+            new = np.ones(len(other), bool)
+            new[1:] = (h[other][1:] != h[other][:-1]) | (text[other][1:] != text[other][:-1])
+            begins = np.flatnonzero(new)
+            grams = stream[places[other[begins]][:, None] + np.arange(self.order)]
+            said = np.where(grams == 0, 0x20, grams - 1).astype("<u4").tobytes().decode("utf-32-le")
+            for i, (of, n) in enumerate(zip(text[other[begins]].tolist(), np.diff(begins, append=len(other)).tolist(), strict=True)):
+                names[of].append(said[i * self.order : (i + 1) * self.order])
+                numbers[of].append(n)
+        return total, size, names, numbers
+
+
+def _totals(rows: DataFrame, identifier: Identifier) -> DataFrame:
+    """(first column, total, size) of rows (anything, text): the bits of all n-grams, frequent or not."""
+    shared = rows.sparkSession.sparkContext.broadcast(replace(identifier, whole=None))  # bounded by ``most_grams``
+    first, langs = rows.columns[0], range(len(identifier.langs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, row = KnownScorer(shared.value), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            total, size, names, numbers = scorer.bits([t or "" for t in batch.column(1).to_pylist()])
+            told = [pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(size), pa.array(names, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row + np.arange(len(size))), *told], names=[first, "row", "total", "size", "grams", "numbers"])
+            row += len(size)
+
+    kind = rows.schema[first].dataType.simpleString()
+    parts = written(map_arrow(rows, run, f"{first} {kind}, row long, total array<double>, size long, grams array<string>, numbers array<long>"), "known-bits")
+    others = parts.select("row", F.explode(F.arrays_zip("grams", "numbers")).alias("one")).select("row", F.col("one.grams").alias("gram"), F.col("one.numbers").alias("n"))
+    met = spread_join(others, identifier.whole.scored(others), "gram")
+    sums = met.groupBy("row").agg(F.array(*(F.sum(F.col("n") * F.col("scores")[i]) for i in langs)).alias("more"))
+    more = F.coalesce("more", F.array(*(F.lit(0.0) for _ in langs)))
+    return parts.join(sums, "row", "left").select(first, F.zip_with("total", more, lambda a, b: a - b).alias("total"), "size")
+
+
+def _told(batch: pa.RecordBatch, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(total, size) of a batch of ``_totals``."""
+    return batch.column(1).flatten().to_numpy().reshape(-1, langs), batch.column(2).to_numpy()
+
+
 def lead_cell(bits: np.ndarray) -> np.ndarray:
     """Cell of the lead of the best language over the second, in bits of the whole text."""
     return np.clip((np.log2(1 + np.maximum(bits, 0)) * LEAD_STEP).astype(np.int64), 0, LEAD_CELLS - 1)
@@ -343,14 +454,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.where((F.col("h") % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     held = F.floor(F.col("h") / 4) % calibrate == 0
     counted = cut(gram_counts(rows.where(~held), order))
-    # The least count that keeps the number of n-grams within the bound; counts above 65,535 are told as that.
-    cells = counted.groupBy(F.least("n", F.lit(65535)).alias("n")).agg(F.count("*").alias("kinds")).collect()
-    least, kept = 65536, 0
-    for n, kinds in sorted(((r["n"], r["kinds"]) for r in cells), reverse=True):
-        if kept + kinds > most_grams:
-            break
-        least, kept = n, kept + kinds
-    grams = counted.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()  # at most ``most_grams`` rows
+    if counted.count() > most_grams:
+        found = _frequent(counted, order, most_grams)
+        return _calibrated(found, rows.where(held))
+    grams = counted.orderBy("lang", "gram").toArrow()  # at most ``most_grams`` rows
     langs = grams.column("lang").to_numpy(zero_copy_only=False)
     text = "".join(grams.column("gram").to_pylist())
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32).reshape(-1, order)
@@ -364,17 +471,43 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return _calibrated(found, rows.where(held)) if names else found
 
 
+def _frequent(counted: DataFrame, order: int, most_grams: int) -> Identifier:
+    """All n-grams as tables, and the scores of the most frequent ones to be broadcast."""
+    names = sorted(r["lang"] for r in counted.select("lang").distinct().collect())  # a row for each language
+    whole = Whole.of(counted, names, order)
+    of_all = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
+    # The least count that keeps the scores within the bound; counts above 65,535 are told as that.
+    cells = of_all.groupBy(F.least("n", F.lit(65535)).alias("n")).agg(F.count("*").alias("kinds")).collect()
+    least, kept = 65536, 0
+    for n, kinds in sorted(((r["n"], r["kinds"]) for r in cells), reverse=True):
+        if (kept + kinds) * len(names) > most_grams:
+            break
+        least, kept = n, kept + kinds
+    rows = whole.scored(of_all.where(F.least("n", F.lit(65535)) >= least)).toArrow()  # at most ``most_grams`` scores
+    text = "".join(rows.column("gram").to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint32).reshape(-1, order)
+    h = _row_hashes(np.where(codes == 0x20, 0, codes + 1).astype(np.uint32))
+    sort = np.argsort(h)
+    scores = rows.column("scores").combine_chunks().flatten().to_numpy().reshape(-1, len(names))[sort]
+    models = [CharModel(order, [(h[sort], scores[:, i])]) for i in range(len(names))]
+    return Identifier(names, models, order, np.full(len(names), np.inf), np.full(LEAD_CELLS, 0.5), whole)
+
+
 def _calibrated(identifier: Identifier, rows: DataFrame) -> Identifier:
-    shared = rows.sparkSession.sparkContext.broadcast(identifier)  # bounded by ``most_grams``
+    joined = identifier.whole is not None
+    if joined:
+        rows = _totals(rows.select("lang", "text"), identifier)
+    few = replace(identifier, models=[], whole=None)
+    shared = rows.sparkSession.sparkContext.broadcast(few if joined else identifier)  # bounded by ``most_grams``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        scorer, number = Scorer(of), {name: i for i, name in enumerate(of.langs)}
+        scorer, number = None if joined else Scorer(of), {name: i for i, name in enumerate(of.langs)}
         entropies = np.zeros((len(of.langs), BITS_CELLS), np.int64)
         leads = np.zeros((2, LEAD_CELLS), np.int64)
         for batch in batches:
             true = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
-            total, size = scorer.bits(batch.column(1).to_pylist())
+            total, size = _told(batch, len(of.langs)) if joined else scorer.bits(batch.column(1).to_pylist())
             use = (size > 0) & (true >= 0)
             best, _, cell = _judged(total, size)
             np.add.at(leads, ((best == true)[use].astype(int), cell[use]), 1)
@@ -389,7 +522,7 @@ def _calibrated(identifier: Identifier, rows: DataFrame) -> Identifier:
             n += counts[at, cell].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.int64()), pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["kind", "which", "cell", "n"])
 
-    told = map_arrow(rows.select("lang", "text"), run, "kind string, which long, cell long, n long").groupBy("kind", "which", "cell").agg(F.sum("n").alias("n")).collect()
+    told = map_arrow(rows if joined else rows.select("lang", "text"), run, "kind string, which long, cell long, n long").groupBy("kind", "which", "cell").agg(F.sum("n").alias("n")).collect()
     entropies, leads = np.zeros((len(identifier.langs), BITS_CELLS), np.int64), np.zeros((2, LEAD_CELLS), np.int64)
     for row in told:  # one for each cell
         (entropies if row["kind"] == "bits" else leads)[row["which"], row["cell"]] = row["n"]
@@ -400,23 +533,27 @@ def _calibrated(identifier: Identifier, rows: DataFrame) -> Identifier:
     # Cells without rows count a hundredth of a row, half right, so that neighbours decide.
     scores = np.clip(_rising(leads[1] + 0.005, leads.sum(axis=0) + 0.01), 0.0, 1.0)
     shared.unpersist()
-    return Identifier(identifier.langs, identifier.models, identifier.order, bounds, scores)
+    return replace(identifier, bounds=bounds, scores=scores)
 
 
 def identify(docs: DataFrame, identifier: Identifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, bits_per_char and rejected (too unlike all languages) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by ``most_grams``
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    joined = identifier.whole is not None
+    if joined:
+        rows = _totals(rows, identifier)
+    few = replace(identifier, models=[], whole=None)
+    shared = docs.sparkSession.sparkContext.broadcast(few if joined else identifier)  # bounded by ``most_grams``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        scorer = Scorer(of) if of.langs else None
+        scorer = Scorer(of) if of.langs and not joined else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = len(texts)
-            if scorer is None:
+            n = batch.num_rows
+            if not of.langs:
                 names, scores, bits, rejected = ["und"] * n, [0.0] * n, [None] * n, [True] * n
             else:
-                total, size = scorer.bits(texts)
+                total, size = _told(batch, len(of.langs)) if joined else scorer.bits([t or "" for t in batch.column(1).to_pylist()])
                 best, entropy, cell = _judged(total, size)
                 none = size == 0
                 names = ["und" if x else of.langs[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
@@ -428,7 +565,6 @@ def identify(docs: DataFrame, identifier: Identifier, *, id_col: str = "doc_id",
                 names=["doc_id", "lang_pred", "score", "bits_per_char", "rejected"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
     return map_arrow(rows, run, "doc_id long, lang_pred string, score double, bits_per_char double, rejected boolean")
 
 
