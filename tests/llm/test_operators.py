@@ -744,6 +744,31 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, bucket, part):
     assert len(want) < len({brute_print(t) for _, t in rows})
 
 
+def test_near_dedup_meets_by_fingerprints_and_checks_texts(spark, monkeypatch):
+    r = random.Random(8)
+    own = [f"w{r.randrange(5000)}" for _ in range(300)]
+
+    def fingerprint(words):
+        hashes = np.unique(near_copies.gram_hashes(near_copies.word_hashes(*spans(words)), 5))
+        return int(op08_simhash.majority_bits(hashes, np.array([0, len(hashes)]))[0])
+
+    def spans(words):
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        return np.frombuffer(" ".join(words).encode(), np.uint8), starts, starts + sizes
+
+    edited_once = [own[:k] + ["new"] + own[k + 1 :] for k in range(300)]
+    near = next(w for w in edited_once if 0 < (fingerprint(w) ^ fingerprint(own)).bit_count() <= 2)
+    rows = [(1, " ".join(own)), (2, " ".join(near)), (3, " ".join(f"v{r.randrange(5000)}" for _ in range(300)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with monkeypatch.context() as patch:  # without the join of sets the links of the fingerprints stand
+        patch.setattr(near_copies, "_meet", lambda tokens, similarity, bucket: spark.createDataFrame([], near_copies._MET))
+        assert sorted(x["doc_id"] for x in op08_simhash.keep_one(frame).collect()) == [1, 3]
+    with monkeypatch.context() as patch:  # what the fingerprints link wrongly is told apart by the texts
+        patch.setattr(op08_simhash, "links", lambda nodes: nodes.select(F.col("fp").alias("a")).crossJoin(nodes.select(F.col("fp").alias("b"))).where("a < b"))
+        assert sorted(x["doc_id"] for x in op08_simhash.keep_one(frame).collect()) == [1, 3]
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 

@@ -22,7 +22,8 @@ fingerprint and component like any other; it links texts, but the smallest doc_i
 is not null, and null only if the component has none. Very long texts are hashed whole. An empty table gives an empty result. Only the id and text columns are read.
 
 The contract above (three words, two bits) is that of the query. The pipeline's stage asks
-for five words and a Jaccard similarity of 0.8: see ``near_copies``.
+for five words and a Jaccard similarity of 0.8: the same fingerprints and links, of five words, are
+checked on whole texts, and ``near_copies`` adds the pairs whose fingerprints lie further apart.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import cut, map_arrow, table, written
 from .components import connected_components, frequent, spread_join
-from .near_copies import keep_one
 from .textbytes import LOWER, SPACE_WORDS, Chunk, chunks, words
 
 __all__ = ["components", "fingerprints", "keep_one", "links", "op8_simhash"]
@@ -206,5 +207,10 @@ def components(docs: DataFrame, *, bucket: int = 32, id_col: str = "doc_id", tex
     return spread_join(prints, by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **options: int | str) -> DataFrame:
+    """One row of each component of near copies, linked by fingerprints and a check on whole texts; see ``near_copies.keep_one``."""
+    return near_copies.keep_one(docs, shingle, similarity, fingerprint=majority_bits, links=links, **options)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
