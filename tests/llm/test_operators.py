@@ -769,6 +769,26 @@ def test_near_dedup_meets_by_fingerprints_and_checks_texts(spark, monkeypatch):
         assert sorted(x["doc_id"] for x in op08_simhash.keep_one(frame).collect()) == [1, 3]
 
 
+def test_bitmap_of_near_dedup_is_small_and_misses_none(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(near_copies, "cut", lambda frame: cuts.append(frame.localCheckpoint()) or cuts[-1])
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("same"))
+    found = {r["doc_id"] for r in near_copies._may_be_among(rows, rows.where("doc_id % 20 = 0")).where("maybe").collect()}
+    assert found >= set(range(0, 20_000, 20)) and len(found) < 3000
+    assert cuts[0].count() == 1  # rows of 4 KB that are broadcast; 2,048 hold 8 MB
+    assert [near_copies._slots(n) for n in (0, 100_000, 1 << 40)] == [near_copies.BLOCK, 1 << 21, near_copies.SLOTS]
+
+
+def test_common_shingles_are_chosen_before_they_come_to_the_driver(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(near_copies, "cut", lambda frame: cuts.append(frame.localCheckpoint()) or cuts[-1])
+    monkeypatch.setattr(near_copies, "COMMON", 3)
+    rows = [(f"a{k} b c d e",) for k in range(8) for _ in range(4 + k)]
+    tokens, counts = near_copies._common(spark.createDataFrame(rows, "text string").coalesce(1), 5)
+    assert counts.tolist() == [9, 10, 11] and len(set(tokens.tolist())) == 3
+    assert cuts[0].count() == 3
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
